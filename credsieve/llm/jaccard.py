@@ -16,7 +16,7 @@ WORDS = 5
 #: Embedded tokens (minhash values) of a set, of which the paths sample; probability that a pair at the threshold shares a path of the greatest depth, summed over the runs, is to reach RECALL.
 EMBEDDED, RECALL = 64, 0.995
 #: Buckets above LIMIT sets are split again, to at most so many levels.
-LIMIT, DEPTH = 1024, 4
+LIMIT, DEPTH = 2048, 4
 #: A pair in a bucket is worth an exact look from this part of equal embedded values on: four standard deviations below the threshold.
 LOOK = 0.6
 #: Sets of a component are compared in blocks of about so many shingles and sets.
@@ -118,13 +118,15 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sid = t["sid"].to_numpy()
         order = np.argsort(sid)
         sid = sid[order]
-        sig = np.stack(t["sig"].to_numpy())[order]
-        left, right = [], []
+        sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, EMBEDDED)[order]
+        r = np.arange(len(sid))
         for i in range(len(sid) - 1):
-            near = np.flatnonzero((sig[i + 1 :] == sig[i]).sum(1) >= LOOK * EMBEDDED) + i + 1
-            left.append(np.full(len(near), i))
-            right.append(near)
-        if left and (r := roots(len(sid), np.concatenate(left), np.concatenate(right))) is not None and (at := np.flatnonzero(r != np.arange(len(sid)))).size:
+            other = np.flatnonzero(r[i + 1 :] != r[i]) + i + 1  # the others are connected already
+            near = other[(sig[other] == sig[i]).sum(1) >= LOOK * EMBEDDED]
+            if near.size:
+                met = np.append(r[near], r[i])
+                r[np.isin(r, met)] = met.min()
+        if (at := np.flatnonzero(r != np.arange(len(sid)))).size:
             yield pa.RecordBatch.from_arrays([pa.array(sid[r[at]]), pa.array(sid[at])], ["a", "b"])
 
 
