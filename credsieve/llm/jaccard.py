@@ -130,6 +130,30 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(sid[r[at]]), pa.array(sid[at])], ["a", "b"])
 
 
+class Bloom:
+    """Which 64-bit keys may be in a set, in at most MOST_BITS bits: the broadcast is bounded however large the set is. A full filter lets all keys pass, which costs time, not results."""
+
+    MOST_BITS = 1 << 28
+
+    def __init__(self, keys: DataFrame, col: str):
+        self.bits = 1 << min(self.MOST_BITS.bit_length() - 1, max(16, (16 * keys.count()).bit_length()))
+        at = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), F.col(col)), F.lit(self.bits)) for k in (41, 42)])).alias("at")
+        words = keys.select(at).groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("set"))
+        self.words = np.zeros(self.bits // 64, np.int64)
+        for w, x in words.toLocalIterator():
+            self.words[w] = x
+
+    def may_hold(self, positions: list[np.ndarray]) -> np.ndarray:
+        hit = np.ones(len(positions[0]), bool)
+        for at in positions:
+            hit &= (self.words[at >> 6] >> (at & 63)) & 1 == 1
+        return hit
+
+    def positions(self, col: str) -> list:
+        """Columns of a row's bits in the filter."""
+        return [F.pmod(F.xxhash64(F.lit(k), F.col(col)), F.lit(self.bits)).alias(f"_bit{k}") for k in (41, 42)]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, root: the smallest vertex that each vertex of the edges (a, b) is connected with. Labels pass over edges and jump to their own labels' labels; each round is written to the shared folder."""
     both = cut(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b"), F.col("a"))).distinct())
@@ -242,14 +266,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("_blocks"))
     dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("_blocks")).cast("int"))
 
+    # the sets are made again, for members only: the filter drops most other texts before the shuffle, the join the rest
+    bloom = Bloom(members, "first_id")
+    held = docs.sparkSession.sparkContext.broadcast(bloom)
+
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, own in shingle_sets(*text_bytes(b["_text"]), words):
-                keep = [k for k, s in enumerate(own) if len(s) and set_key(s) == b["sid"][i + k].as_py()]  # ids may repeat
-                at = pa.array([i + k for k in keep], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b[c].take(at) for c in ("comp", "sid", "copies", "block", "_blocks")), pa.array([own[k].tobytes() for k in keep], pa.binary())], ["comp", "sid", "copies", "block", "_blocks", "tokens"])
-
-    fetched = texts.join(dealt, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("_text", "comp", "sid", "copies", "block", "_blocks").mapInArrow(tokens, "comp long, sid long, copies long, block int, _blocks int, tokens binary")
+            maybe = np.flatnonzero(held.value.may_hold([b[c].to_numpy() for c in ("_bit41", "_bit42")]))
+            text = b["_text"].take(pa.array(maybe))
+            for i, own in shingle_sets(*text_bytes(text), words):
+                keep = [k for k, s in enumerate(own) if len(s)]
+                at = pa.array(maybe[[i + k for k in keep]] if keep else [], pa.int64())
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), pa.array([set_key(own[k]) for k in keep], pa.int64()), pa.array([own[k].tobytes() for k in keep], pa.binary())], ["doc_id", "_sid", "tokens"])
+
+    made = texts.select("doc_id", "_text", *bloom.positions("doc_id")).mapInArrow(tokens, f"doc_id {kind}, _sid long, tokens binary")
+    fetched = made.join(dealt, (F.col("_sid") == F.col("sid")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     paired = fetched.select("comp", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"), "block", "sid", "copies", "tokens").select("comp", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "sid", "copies", "tokens")
     linked = cut(paired.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_compare(threshold), "sid long, root long, links long"))
     degree = linked.groupBy("sid").agg(F.sum("links").alias("_links"), F.min("root").alias("root"))
