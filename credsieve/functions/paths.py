@@ -1,0 +1,120 @@
+"""Column functions over file paths: classes, effective extension, globs, categories."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Path classes.
+TEST_DIRS = ("test", "tests", "spec", "__tests__", "testing", "fixtures", "mocks")
+TEST_NAMES = r"(_test\.|\.test\.|_spec\.|\.spec\.)|_test$|^test_|\.(test|spec)$"
+CONFIG_EXTENSIONS = ("yml", "yaml", "toml", "ini", "conf", "config", "properties", "env", "json")
+CONFIG_PARTS = r"/\.env|^\.env$|^\.env\.|config|\.npmrc$|\.dockerignore$|dockerfile"
+DOC_EXTENSIONS = ("md", "markdown", "rst", "adoc")
+DOC_PARTS = r"/docs/|/doc/|/examples/|readme|changelog|license"
+EXAMPLE_PARTS = r"/example|/sample|/demo|example\.|sample\."
+VENDOR_DIRS = ("vendor", "node_modules", "third_party", "external", r"\.cargo", "target", "build", "dist")
+VENDOR_LEADING = ("vendor", "node_modules", "third_party", "external", "target", "build", "dist")
+LOCKFILES = (
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "Gemfile.lock", "poetry.lock", "Pipfile.lock",
+    "composer.lock", "go.sum", "flake.lock", "pubspec.lock", "packages.lock.json", "bun.lockb",
+)
+BINARY_EXTENSIONS = tuple(
+    "exe dll so dylib bin com msi o a lib obj class pyc pyo elc beam zip tar gz bz2 xz 7z rar zst lz4 lzma jpg jpeg png gif bmp ico svg webp tiff avif mp3 mp4 avi mov mkv flac wav ogg webm woff woff2 ttf eot otf pdf doc docx xls xlsx ppt pptx dat db sqlite sqlite3 mdb parquet arrow iso img dmg vmdk map".split()
+)
+
+
+def _lower(path: Column) -> Column:
+    return F.lower(path)
+
+
+def basename(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)$", 1)
+
+
+def file_ext(path: Column) -> Column:
+    """.env and .env.* are ``env``; a dotfile without a second dot and a name without a dot have none (null)."""
+    name = basename(path)
+    ext = F.regexp_extract(name, r"^.+\.([^.]*)$", 1)
+    return F.when((name == ".env") | name.startswith(".env."), "env").otherwise(F.when(ext != "", ext))
+
+
+def is_test_file(path: Column) -> Column:
+    p = _lower(path)
+    return p.rlike("/(" + "|".join(TEST_DIRS) + ")/") | basename(p).rlike(TEST_NAMES)
+
+
+def is_config_file(path: Column) -> Column:
+    p = _lower(path)
+    return F.coalesce(file_ext(p).isin(*CONFIG_EXTENSIONS), F.lit(False)) | p.rlike(CONFIG_PARTS)
+
+
+def is_documentation(path: Column) -> Column:
+    p = _lower(path)
+    return F.coalesce(file_ext(p).isin(*DOC_EXTENSIONS), F.lit(False)) | p.rlike(DOC_PARTS)
+
+
+def is_example(path: Column) -> Column:
+    return _lower(path).rlike(EXAMPLE_PARTS)
+
+
+def is_vendor(path: Column) -> Column:
+    p = _lower(path)
+    return p.rlike("/(" + "|".join(VENDOR_DIRS) + ")/") | p.rlike("^(" + "|".join(VENDOR_LEADING) + ")/")
+
+
+def is_lockfile(path: Column) -> Column:
+    return basename(path).isin(*LOCKFILES)
+
+
+def is_binary_name(path: Column) -> Column:
+    return F.coalesce(F.lower(file_ext(path)).isin(*BINARY_EXTENSIONS), F.lit(False))
+
+
+def relativize(path: Column, root: str) -> Column:
+    return F.regexp_replace(path, "^" + re.escape(root.rstrip("/")) + "/", "")
+
+
+def glob_to_regex(pattern: str) -> tuple[str, bool]:
+    """An anchored regular expression for a glob, and whether it is negated. * stays inside a directory, ** crosses them, ? is one character; a pattern without / is for the file name, one with / for any suffix of the path."""
+    negated = pattern.startswith("!")
+    body = pattern[negated:]
+    out, i = "", 0
+    while i < len(body):
+        if body.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(body[i], re.escape(body[i])), i + 1
+    return ("(?s)(?:^|/)" + out.removeprefix("/") + "$"), negated
+
+
+def glob_match(path: Column, pattern: str) -> Column:
+    regex, negated = glob_to_regex(pattern)
+    return ~path.rlike(regex) if negated else path.rlike(regex)
+
+
+def adjust_severity(severity: Column, is_doc: Column) -> Column:
+    """One step down in documentation."""
+    down = F.when(severity == "CRITICAL", "HIGH").when(severity == "HIGH", "MEDIUM").otherwise("LOW")
+    return F.when(is_doc, down).otherwise(severity)
+
+
+# Categories of type names, the first that fits.
+CATEGORIES = (
+    ("AWS", ("AWS",)), ("Google Cloud", ("GCP", "Firebase")), ("Azure", ("Azure",)), ("GitHub", ("GitHub",)), ("GitLab", ("GitLab",)),
+    ("Private Keys", ("Private Key", "SSH")), ("Databases", ("Database", "Connection", "PlanetScale", "Supabase")),
+)
+
+
+def secret_category(name: Column) -> Column:
+    out = F.lit("Other")
+    for category, parts in reversed(CATEGORIES):
+        fits = F.lit(False)
+        for part in parts:
+            fits = fits | name.contains(part)
+        out = F.when(fits, category).otherwise(out)
+    return out

@@ -1,0 +1,187 @@
+"""Reports, comparisons, traces, verification by format, and remediation over flat findings."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths as P
+from .suppress import likely_false_positive
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """One row: findings by severity, validated ones, likely false positives."""
+    n = lambda s: F.count_if(F.col("severity") == s).alias(s.lower())
+    validated = F.count_if(F.col("validated")) if "validated" in found.columns else F.lit(0).cast("long")
+    return found.agg(F.count("*").alias("total"), n("CRITICAL"), n("HIGH"), n("MEDIUM"), n("LOW"), validated.alias("validated"), F.count_if(likely_false_positive()).alias("false_positives"))
+
+
+def json_report(found: DataFrame, version: str = "1.0") -> DataFrame:
+    """One row with the report as JSON. For reports that one row can't hold, write found as JSON lines instead."""
+    body = found.select(F.struct("display_name", "path", "line_number", "redacted_value", "severity", "confidence").alias("f"))
+    counts = summary(found).select(F.struct("*").alias("summary"))
+    rows = body.agg(F.array_sort(F.collect_list("f")).alias("findings"))
+    return rows.crossJoin(counts).select(F.to_json(F.struct(F.lit(version).alias("version"), F.col("summary.total").alias("total_findings"), "findings", "summary")).alias("report"))
+
+
+def sarif_rules(found: DataFrame) -> DataFrame:
+    """One row per type: the first finding's severity decides the level."""
+    order = F.struct("path", "line_number", "start")
+    return found.groupBy("type_id").agg(F.min_by("display_name", order).alias("name"), F.min_by(sarif_level(F.col("severity")), order).alias("level"))
+
+
+def sarif_level(severity: Column) -> Column:
+    return F.when(severity.isin("CRITICAL", "HIGH"), "error").when(severity == "MEDIUM", "warning").otherwise("note")
+
+
+def sarif_results(found: DataFrame) -> DataFrame:
+    return found.select("type_id", sarif_level(F.col("severity")).alias("level"), F.col("path").alias("uri"), F.col("line_number").alias("start_line"), (F.col("start") + 1).alias("start_column"), (F.col("end") + 1).alias("end_column"))
+
+
+def report_rows(found: DataFrame) -> DataFrame:
+    return found.select("path", "line_number", "display_name", "redacted_value", "severity", F.round("confidence", 6).alias("confidence"), likely_false_positive().alias("false_positive"))
+
+
+def webhook_payload(found: DataFrame, kind: str) -> DataFrame:
+    """Slack: the first 10 and how many more; teams: the first 20; generic: all, with redacted values. By severity, path, line."""
+    rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "HIGH", 1).when(F.col("severity") == "MEDIUM", 2).otherwise(3)
+    shown = found.select(rank.alias("r"), "path", "line_number", "display_name", "severity", "redacted_value").orderBy("r", "path", "line_number", "display_name", "redacted_value")
+    limit = {"slack": 10, "teams": 20}.get(kind)
+    items = (shown.limit(limit) if limit else shown).agg(F.array_sort(F.collect_list(F.struct("r", "path", "line_number", "display_name", "severity", "redacted_value"))).alias("items"))
+    return items.crossJoin(found.agg(F.count("*").alias("n"))).select(F.lit(kind).alias("kind"), "n", F.greatest(F.lit(0), F.col("n") - F.size("items")).alias("more"), F.to_json("items").alias("items"))
+
+
+def by_value(found: DataFrame) -> DataFrame:
+    return found.groupBy("value").agg(F.count("*").alias("references"), F.count_distinct("path").alias("files"))
+
+
+def by_category(rules: DataFrame) -> DataFrame:
+    return rules.groupBy(P.secret_category(F.col("display_name")).alias("category")).agg(F.count_distinct("type_id").alias("types"), F.count("*").alias("patterns"))
+
+
+def diff_findings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """added, removed or unchanged for every key of two reports (type, value, path, line); repeated keys count once."""
+    keys = ["type_id", "value", "path", "line_number"]
+    a = old.select(*keys).distinct().withColumn("_old", F.lit(True))
+    b = new.select(*keys).distinct().withColumn("_new", F.lit(True))
+    return a.join(b, keys, "full").select(*keys, F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("unchanged").alias("status"))
+
+
+def diff_counts(diff: DataFrame) -> DataFrame:
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return diff.agg(n("added"), n("removed"), n("unchanged")).withColumn("net", F.col("added") - F.col("removed"))
+
+
+# ---- traces ----
+
+# Where a leaked value reaches.
+BLAST = (("environment", r"\.env$|\.env\.local$|\.env\.production$"), ("config", r"\.(toml|yaml|yml|json|ini|conf)$"), ("cicd", r"jenkinsfile|dockerfile|\.github/|\.gitlab-ci|\.circleci"), ("infrastructure", r"\.tf$|\.tfvars$|docker-compose|k8s|helm"))
+
+
+def trace_values(lines: DataFrame, values: DataFrame) -> DataFrame:
+    """Every line that holds one of the values (value). The values asked for are few and named by the caller; all are looked for in one pass."""
+    return lines.join(values.hint("broadcast"), F.contains(F.col("line"), F.col("value"))).select("value", "path", "line_number")
+
+
+def trace_type(found: DataFrame, part: str) -> DataFrame:
+    return by_value(found.filter(F.contains(F.lower("display_name"), F.lit(part.lower()))))
+
+
+def trace_file(found: DataFrame, lines: DataFrame, path: str) -> DataFrame:
+    return trace_values(lines, found.filter(F.col("path") == path).select("value").distinct())
+
+
+def blast_radius(hits: DataFrame) -> DataFrame:
+    """category, files, flag over the paths of a trace: [!!] above 3 files, [!] above 1, else [-]."""
+    p = F.lower("path")
+    kinds = F.filter(F.array(*[F.when(p.rlike(rx), F.lit(k)) for k, rx in BLAST]), lambda x: x.isNotNull())
+    counted = hits.select("path", F.explode(kinds).alias("category")).groupBy("category").agg(F.count_distinct("path").alias("files"))
+    return counted.withColumn("flag", F.when(F.col("files") > 3, "[!!]").when(F.col("files") > 1, "[!]").otherwise("[-]"))
+
+
+# ---- verification ----
+
+# Type, prefix, least and greatest length of the whole value, characters after the prefix.
+FORMAT_RULES = """
+AwsSecretKey - 40 40 [A-Za-z0-9+/=]
+GcpApiKey AIza 39 39 [A-Za-z0-9_-]
+GitHubPat ghp_ 34 44 [A-Za-z0-9]
+GitHubOauth gho_ 34 44 [A-Za-z0-9]
+GitHubAppToken ghs_ 34 44 [A-Za-z0-9]
+GitHubToken - 30 45 [A-Za-z0-9]
+GitHubFineGrainedPat github_pat_ 93 93 [A-Za-z0-9_-]
+GitLabPat glpat- 26 26 [A-Za-z0-9_-]
+GitLabRunnerToken glrt- 25 9999 [A-Za-z0-9_-]
+StripeApiKey sk_live_ 32 9999 [A-Za-z0-9]
+StripeRestrictedKey rk_live_ 32 9999 [A-Za-z0-9]
+SquareAccessToken sq0atp- 29 29 [A-Za-z0-9_-]
+AlibabaAccessKey LTAI 24 24 [A-Za-z0-9]
+AzureDevOpsPat - 52 52 [A-Za-z0-9]
+AzureOpenAiApiKey - 32 32 [a-f0-9]
+"""
+
+
+def format_rules(spark: SparkSession) -> DataFrame:
+    rows = [x.split() for x in FORMAT_RULES.strip().splitlines()]
+    return spark.createDataFrame([(t, "" if p == "-" else p, int(a), int(b), f"^{c}*$") for t, p, a, b, c in rows], "type_id string, prefix string, min_len int, max_len int, body_regex string")
+
+
+def verify_format(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds validated: does the value have its type's format? AWS ids: 20 characters, a known prefix; session tokens never; types without a rule: 8 or more bytes without white space."""
+    v, body = F.col("value"), F.expr("substring(value, length(prefix) + 1)")
+    n = F.octet_length(v)
+    aws = v.rlike("^(AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|A3T)") & (n == 20)
+    ruled = F.startswith(v, F.col("prefix")) & n.between(F.col("min_len"), F.col("max_len")) & F.regexp_like(body, F.col("body_regex"))
+    valid = F.when(F.col("type_id") == "AwsAccessKey", aws).when(F.col("type_id") == "AwsSessionToken", False).when(F.col("prefix").isNotNull(), ruled).otherwise((n >= 8) & ~v.rlike(r"[ \t\n\r\f]"))
+    return found.join(F.broadcast(rules), "type_id", "left").withColumn("validated", valid).drop("prefix", "min_len", "max_len", "body_regex")
+
+
+def pair_credentials(found: DataFrame) -> DataFrame:
+    """path, access_key, secret_key: the first of each in a file."""
+    first = lambda t, name: found.filter(F.col("type_id") == t).groupBy("path").agg(F.min_by("value", F.struct("line_number", "start")).alias(name))
+    return first("AwsAccessKey", "access_key").join(first("AwsSecretKey", "secret_key"), "path")
+
+
+def verification_tier(type_id: Column, dedicated: Iterable[str], services: Iterable[str]) -> Column:
+    return F.when(type_id.isin(*dedicated), 1).when(type_id.isin(*services), 2).otherwise(3)
+
+
+# How to rotate a type.
+ROTATION = {
+    "AwsAccessKey": "aws iam create-access-key && aws iam delete-access-key --access-key-id <OLD_KEY>",
+    "AwsSecretKey": "aws iam create-access-key && aws iam delete-access-key --access-key-id <OLD_KEY>",
+    "GitHubPat": "gh auth refresh-token  (or regenerate at github.com/settings/tokens)",
+    "GitHubToken": "gh auth refresh-token  (or regenerate at github.com/settings/tokens)",
+    "GitLabPat": "Regenerate at gitlab.com/-/profile/personal_access_tokens",
+    "StripeApiKey": "Regenerate at dashboard.stripe.com/apikeys (roll key)",
+    "SlackToken": "Regenerate at api.slack.com/apps (reinstall app)",
+    "NpmToken": "npm token revoke <TOKEN> && npm token create",
+    "HashiCorpVaultToken": "vault token revoke <TOKEN> && vault token create",
+    "RsaPrivateKey": "Generate new key pair: ssh-keygen -t ed25519",
+    "SshPrivateKey": "Generate new key pair: ssh-keygen -t ed25519",
+    "EcPrivateKey": "Generate new key pair: ssh-keygen -t ed25519",
+    "Pkcs8PrivateKey": "Generate new key pair: ssh-keygen -t ed25519",
+    "DsaPrivateKey": "Generate new key pair: ssh-keygen -t ed25519",
+}
+
+
+def remediation_plan(found: DataFrame) -> DataFrame:
+    """path, line_number, type_id, step, action: rotate, clean the history (values over 8 bytes), add to the ignore file."""
+    spark = found.sparkSession
+    advice = spark.createDataFrame(list(ROTATION.items()), "type_id string, rotation string")
+    steps = F.filter(
+        F.array(F.concat(F.lit("rotate: "), F.coalesce("rotation", F.lit("see the provider's documentation"))), F.when(F.octet_length("value") > 8, F.lit("remove the value from history")), F.concat(F.lit("ignore: fingerprint:"), "fingerprint")),
+        lambda x: x.isNotNull(),
+    )
+    planned = found.join(F.broadcast(advice), "type_id", "left").select("path", "line_number", "type_id", F.posexplode(steps).alias("_i", "action"))
+    return planned.select("path", "line_number", "type_id", (F.col("_i") + 1).alias("step"), "action")
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    return found.orderBy("path", "line_number", "start", "rule_ord")
+
+
+def newest(history: DataFrame, n: int) -> DataFrame:
+    return history.orderBy(F.col("commit_date").desc(), "commit_hash").limit(n)
