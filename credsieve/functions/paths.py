@@ -107,6 +107,11 @@ def adjust_severity(severity: Column, is_doc: Column) -> Column:
 CATEGORIES = (
     ("AWS", ("AWS",)), ("Google Cloud", ("GCP", "Firebase")), ("Azure", ("Azure",)), ("GitHub", ("GitHub",)), ("GitLab", ("GitLab",)),
     ("Private Keys", ("Private Key", "SSH")), ("Databases", ("Database", "Connection", "PlanetScale", "Supabase")),
+    ("AI/ML", ("OpenAI", "Anthropic", "Cohere", "HuggingFace", "Replicate")), ("Package Registries", ("NPM", "PyPI", "NuGet", "RubyGems", "Docker Hub")),
+    ("Communication", ("Discord", "Slack", "Telegram")), ("Payment/E-commerce", ("Stripe", "Shopify", "Square", "PayPal")),
+    ("Monitoring/Observability", ("Datadog", "New Relic", "Sentry", "Grafana", "Elastic", "Algolia")),
+    ("CI/CD & Hosting", ("CircleCI", "Travis", "Vercel", "Netlify", "Heroku")), ("Authentication", ("Okta", "Auth0", "JWT", "OAuth")),
+    ("Cloud Services", ("Cloudflare", "DigitalOcean", "HashiCorp", "Linear", "Notion", "Airtable")),
 )
 
 

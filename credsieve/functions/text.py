@@ -73,10 +73,10 @@ def scannable(line: Column) -> Column:
 
 def shannon_entropy(value: Column) -> Column:
     """Bits per character; 0 for an empty value."""
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.when(F.length(value) == 0, 0.0).otherwise(F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c))))
+    n = F.length(value)
+    chars = F.array_distinct(F.filter(F.split(value, ""), lambda c: c != ""))
+    share = lambda c: (n - F.length(F.replace(value, c, F.lit("")))) / n
+    return F.when(n == 0, 0.0).otherwise(F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c))))
 
 
 def entropy_profile(value: Column, threshold: float = 4.0) -> Column:

@@ -103,39 +103,190 @@ def blast_radius(hits: DataFrame) -> DataFrame:
 
 # ---- verification ----
 
-# Type, prefix, least and greatest length of the whole value, characters after the prefix.
-FORMAT_RULES = """
+# Type, prefixes, least and greatest length of the whole value, characters (or pattern) of what follows the prefix.
+FORMAT_RULES = r"""
+AwsAccessKey AKIA,ASIA,AGPA,AIDA,AROA,AIPA,ANPA,ANVA,A3T 20 20 .
 AwsSecretKey - 40 40 [A-Za-z0-9+/=]
+AwsMwsKey amzn.mws. 45 9999 .
+AwsBedrockApiKey AKIA,ASIA 20 20 [A-Z0-9]
 GcpApiKey AIza 39 39 [A-Za-z0-9_-]
+GoogleAiStudioKey AIza 39 39 [A-Za-z0-9_-]
+GoogleMapsApiKey AIza 39 39 [A-Za-z0-9_-]
+GcpServiceAccount - 0 9999 .*service_account.*
+GcpApplicationDefaultCredentials - 0 9999 .*iam\.gserviceaccount\.com.*
+AzureStorageKey - 0 9999 .*DefaultEndpointsProtocol=.*
+AzureConnectionString - 0 9999 (?=.*(Server=|Data\x20Source=)).*(Password=|PWD=).*
+AzureSasToken - 0 9999 (?=.*sig=).*&s.*
+AzureDevOpsPat - 52 52 [A-Za-z0-9]
+AzureContainerRegistryKey - 52 52 [A-Za-z0-9+/=]
+AzureCosmosDbKey - 88 9999 .*AccountKey=.*
+AzureFunctionKey - 40 9999 [A-Za-z0-9_/+=-]
+AzureSearchAdminKey - 32 9999 [A-Za-z0-9]
+AzureSearchQueryKey - 32 9999 [A-Za-z0-9]
+AzureApiManagementKey - 32 9999 [A-Za-z0-9]
+AzureAppConfigKey - 0 9999 (?=.*azconfig\.io).*Secret=.*
+AzureBatchKey - 88 88 .*==
+AzureOpenAiApiKey - 32 32 [a-f0-9]
+AzureAdClientSecret - 34 9999 .*Q~.*
+AlibabaAccessKey LTAI 24 24 [A-Za-z0-9]
+AlibabaSecretKey - 30 9999 [A-Za-z0-9]
 GitHubPat ghp_ 34 44 [A-Za-z0-9]
 GitHubOauth gho_ 34 44 [A-Za-z0-9]
-GitHubAppToken ghs_ 34 44 [A-Za-z0-9]
 GitHubToken - 30 45 [A-Za-z0-9]
+GitHubAppToken ghs_ 34 44 [A-Za-z0-9]
 GitHubFineGrainedPat github_pat_ 93 93 [A-Za-z0-9_-]
 GitLabPat glpat- 26 26 [A-Za-z0-9_-]
 GitLabRunnerToken glrt- 25 9999 [A-Za-z0-9_-]
+GitLabProjectToken - 0 9999 .*glpat-.*
+BitbucketAppPassword - 18 9999 [A-Za-z0-9_-]
 StripeApiKey sk_live_ 32 9999 [A-Za-z0-9]
 StripeRestrictedKey rk_live_ 32 9999 [A-Za-z0-9]
+PaystackSecretKey sk_live_,sk_test_ 40 9999 [A-Za-z0-9]
 SquareAccessToken sq0atp- 29 29 [A-Za-z0-9_-]
-AlibabaAccessKey LTAI 24 24 [A-Za-z0-9]
-AzureDevOpsPat - 52 52 [A-Za-z0-9]
-AzureOpenAiApiKey - 32 32 [a-f0-9]
+BraintreeAccessToken access_token$ 60 9999 .
+RazorpayKeyId rzp_live_,rzp_test_ 14 9999 .
+FlutterwaveSecretKey FLWSECK 20 9999 .
+FlutterwaveEncryptionKey FLWSECK 20 9999 .
+FlutterwavePublicKey FLWPUBK 32 9999 .
+AdyenApiKey AQE 80 9999 .
+SendGridApiKey SG. 60 9999 .
+TwilioApiKey SK 34 34 [0-9a-fA-F]
+SlackToken xox 30 9999 .
+SlackWebhook https://hooks.slack.com/ 0 9999 .
+SlackAppToken xapp- 20 9999 .
+SlackConfigToken xoxe. 20 9999 .
+DiscordBotToken - 50 9999 .*\..*
+DiscordWebhook https://discord 0 9999 .*/webhooks/.*
+TelegramBotToken - 35 9999 .*:.*
+MicrosoftTeamsWebhook - 0 9999 .*webhook\.office\.com.*
+TelnyxApiKey KEY 50 9999 .
+MailgunApiKey - 32 32 [a-f0-9]
+MailchimpApiKey - 35 9999 .*-us.*
+MailerSendApiKey mlsn. 69 9999 [a-f0-9]
+MandrillApiKey - 22 22 [A-Za-z0-9_-]
+ResendApiKey re_ 33 9999 [A-Za-z0-9_-]
+OpenAiApiKey sk- 20 9999 [A-Za-z0-9_.-]
+AnthropicApiKey sk-ant-api03- 103 9999 [A-Za-z0-9_-]
+AnthropicAdminApiKey sk-ant-admin 32 9999 [A-Za-z0-9_-]
+CohereApiKey - 40 40 [A-Za-z0-9]
+HuggingFaceToken hf_ 37 9999 [A-Za-z0-9]
+ReplicateApiKey r8_ 39 9999 [A-Za-z0-9]
+GroqApiKey gsk_ 56 9999 [A-Za-z0-9]
+PerplexityApiKey pplx- 53 53 [a-f0-9]
+DeepSeekApiKey sk- 51 51 [a-f0-9]
+MistralApiKey - 32 32 [A-Za-z0-9]
+StabilityAiApiKey sk- 51 9999 [A-Za-z0-9]
+TogetherAiApiKey - 64 64 [a-f0-9]
+FireworksAiApiKey fw_ 43 9999 [A-Za-z0-9]
+DatadogApiKey - 32 32 [a-f0-9]
+DatadogAppKey - 40 40 [a-f0-9]
+NewRelicApiKey NRAK- 32 32 [A-Z0-9]
+NewRelicBrowserApiKey NRJS- 24 24 [a-f0-9]
+NewRelicInsightsQueryKey NRIQ- 37 37 [A-Za-z0-9]
+NewRelicLicenseKey - 44 9999 .*NRAL
+SentryDsn https:// 0 9999 (?=.*@).*sentry\.io.*
+GrafanaApiKey glc_,glsa_ 32 9999 .
+PagerDutyApiKey - 20 9999 [A-Za-z0-9+/=]
+SplunkHecToken - 36 36 UUID
+DynatraceApiToken dt0c01. 80 9999 .
+PosthogApiKey phx_,phc_ 40 9999 .
+SumoLogicKey - 64 64 [A-Za-z0-9]
+CloudflareApiToken - 40 9999 [A-Za-z0-9_-]
+DigitalOceanToken dop_v1_ 71 71 [a-f0-9]
+DigitalOceanOAuthToken doo_v1_ 71 71 [a-f0-9]
+DigitalOceanRefreshToken dor_v1_ 71 71 [a-f0-9]
+DigitalOceanSpacesKey DO 20 20 [A-Z0-9]
+VercelToken - 24 24 [A-Za-z0-9]
+HerokuApiKey - 36 36 UUID
+NetlifyPat nfp_ 44 9999 [A-Za-z0-9]
+FlyAccessToken - 40 9999 .*fm2_.*
+FlyIoPersonalToken fo1_ 44 9999 [A-Za-z0-9_-]
+RenderApiKey rnd_ 36 9999 [A-Za-z0-9]
+DenoDeployToken ddp_ 44 44 [A-Za-z0-9]
+DockerHubToken dckr_pat_ 36 9999 [A-Za-z0-9_-]
+HashiCorpVaultToken hvs. 28 9999 [A-Za-z0-9_-]
+VaultBatchToken hvb. 134 9999 [A-Za-z0-9_-]
+TerraformCloudToken - 60 9999 .*atlasv1\..*
+PulumiAccessToken pul- 44 44 [a-f0-9]
+FastlyApiToken - 32 9999 [A-Za-z0-9_-]
+DopplerToken dp. 40 9999 .
+PlanetScaleToken pscale_tkn_ 41 9999 [A-Za-z0-9_-]
+PlanetScalePassword pscale_pw_ 40 9999 [A-Za-z0-9_-]
+InfracostApiKey ico- 36 36 [A-Za-z0-9]
+RailwayApiToken - 36 36 [a-f0-9]
+NeonApiKey - 60 9999 [A-Za-z0-9]
+TurborepoAccessToken - 36 36 [A-Za-z0-9]
+SonarQubeToken squ_ 44 44 [A-Za-z0-9]
+UpstashRedisToken AX 60 9999 .
+CircleCiToken - 40 40 [a-f0-9]
+JiraApiToken - 24 9999 [A-Za-z0-9]
+LaunchDarklyKey sdk- 36 9999 .
+DatabricksToken dapi 36 36 [a-f0-9]
+ConfluentApiKey - 16 16 [A-Za-z0-9]
+OktaApiToken 00 40 9999 [A-Za-z0-9_-]
+PostmanApiToken PMAK- 60 9999 .
+SnykApiToken - 36 36 UUID
+CodecovAccessToken - 32 32 [A-Za-z0-9]
+BuildKiteApiToken bkua_ 45 45 [a-f0-9]
+PrefectApiToken pnu_ 40 40 [A-Za-z0-9]
+HarnessPat pat. 60 9999 .
+ScalingoApiToken tk-us- 54 54 [A-Za-z0-9_-]
+SourcegraphAccessToken sgp_ 44 9999 [0-9a-fA-F]
+TailscaleApiKey tskey- 26 9999 [A-Za-z0-9_-]
+BeamerApiToken - 44 9999 .*b_.*
+LinearApiKey lin_api_ 48 9999 [A-Za-z0-9]
+NotionApiKey ntn_,secret_ 40 9999 .
+AirtableApiKey pat 0 9999 .*\..*
+ShopifyApiKey shpat_,shpca_ 38 9999 .
+ShopifyAccessToken shpat_,shpca_ 38 9999 .
+ShopifySharedSecret shpss_ 38 38 [0-9a-fA-F]
+FigmaPat figd_ 45 9999 [A-Za-z0-9_-]
+AsanaSecret - 16 9999 [A-Za-z0-9]
+TrelloAccessToken - 32 32 [A-Za-z0-9]
+TypeformApiToken tfp_ 44 9999 [A-Za-z0-9_-]
+MapboxToken sk.eyJ,pk.eyJ 50 9999 .
+SegmentWriteKey - 32 32 [A-Za-z0-9]
+PlaidClientSecret - 30 30 [a-f0-9]
+ContentfulApiToken - 43 43 [A-Za-z0-9_=-]
+IntercomAccessToken - 60 9999 [A-Za-z0-9_=-]
+NpmToken npm_ 40 9999 [A-Za-z0-9]
+PyPiApiToken pypi-AgEIcHlwaS5vcmc 70 9999 [A-Za-z0-9_-]
+NuGetApiKey oy2 46 46 [A-Za-z0-9]
+RubyGemsApiKey rubygems_ 57 57 [a-f0-9]
+CratesIoApiToken cio 35 35 [A-Za-z0-9]
+ClojarsApiToken CLOJARS_ 60 9999 .
+CocoaPodsToken - 32 32 [a-f0-9]
+ComposerApiToken - 32 9999 [A-Za-z0-9]
+HexPmApiKey - 64 9999 [A-Za-z0-9]
+CargoRegistryToken - 32 9999 [A-Za-z0-9_-]
+RsaPrivateKey - 0 9999 .*BEGIN\x20RSA\x20PRIVATE\x20KEY.*
+SshPrivateKey - 0 9999 .*BEGIN\x20OPENSSH\x20PRIVATE\x20KEY.*
+PgpPrivateKey - 0 9999 .*BEGIN\x20PGP\x20PRIVATE\x20KEY.*
+EcPrivateKey - 0 9999 .*BEGIN\x20EC\x20PRIVATE\x20KEY.*
+Pkcs8PrivateKey - 0 9999 .*BEGIN\x20PRIVATE\x20KEY.*
+DsaPrivateKey - 0 9999 .*BEGIN\x20DSA\x20PRIVATE\x20KEY.*
+OpensslPrivateKey - 0 9999 .*BEGIN.*PRIVATE\x20KEY.*
+EncryptedPrivateKey - 0 9999 .*BEGIN\x20ENCRYPTED\x20PRIVATE\x20KEY.*
+PuttyPrivateKey PuTTY-User-Key-File- 0 9999 .
 """
+UUID = "(?=([^-]*-){4}[^-]*$)[0-9a-fA-F-]*"
 
 
 def format_rules(spark: SparkSession) -> DataFrame:
     rows = [x.split() for x in FORMAT_RULES.strip().splitlines()]
-    return spark.createDataFrame([(t, "" if p == "-" else p, int(a), int(b), f"^{c}*$") for t, p, a, b, c in rows], "type_id string, prefix string, min_len int, max_len int, body_regex string")
+    body = lambda c: f"(?s)^({UUID if c == 'UUID' else c + '*' if c == '.' or c.endswith(']') else c})$"
+    return spark.createDataFrame([(t, [] if p == "-" else p.split(","), int(a), int(b), body(c)) for t, p, a, b, c in rows], "type_id string, prefixes array<string>, min_len int, max_len int, body_regex string")
 
 
 def verify_format(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds validated: does the value have its type's format? AWS ids: 20 characters, a known prefix; session tokens never; types without a rule: 8 or more bytes without white space."""
-    v, body = F.col("value"), F.expr("substring(value, length(prefix) + 1)")
-    n = F.octet_length(v)
-    aws = v.rlike("^(AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|A3T)") & (n == 20)
-    ruled = F.startswith(v, F.col("prefix")) & n.between(F.col("min_len"), F.col("max_len")) & F.regexp_like(body, F.col("body_regex"))
-    valid = F.when(F.col("type_id") == "AwsAccessKey", aws).when(F.col("type_id") == "AwsSessionToken", False).when(F.col("prefix").isNotNull(), ruled).otherwise((n >= 8) & ~v.rlike(r"[ \t\n\r\f]"))
-    return found.join(F.broadcast(rules), "type_id", "left").withColumn("validated", valid).drop("prefix", "min_len", "max_len", "body_regex")
+    """Adds validated: does the value have its type's format? Session tokens never have; connection strings need :// and 10 bytes; other types without a rule 8 or more bytes without white space."""
+    v, n = F.col("value"), F.octet_length("value")
+    prefix = F.get(F.filter("prefixes", lambda p: F.startswith(v, p)), 0)
+    body = F.call_function("substring", v, F.coalesce(F.length(prefix), F.lit(0)) + 1)
+    ruled = ((F.size("prefixes") == 0) | prefix.isNotNull()) & n.between(F.col("min_len"), F.col("max_len")) & F.regexp_like(body, F.col("body_regex"))
+    conn = F.contains(v, F.lit("://")) & (n >= 10)
+    valid = F.when(F.col("type_id") == "AwsSessionToken", False).when(F.col("body_regex").isNotNull(), ruled).when(F.col("is_conn_string"), conn).otherwise((n >= 8) & ~v.rlike(r"[ \t\n\r\f]"))
+    return found.join(F.broadcast(rules), "type_id", "left").withColumn("validated", valid).drop("prefixes", "min_len", "max_len", "body_regex")
 
 
 def pair_credentials(found: DataFrame) -> DataFrame:
@@ -144,6 +295,15 @@ def pair_credentials(found: DataFrame) -> DataFrame:
     return first("AwsAccessKey", "access_key").join(first("AwsSecretKey", "secret_key"), "path")
 
 
+# Providers whose types have a check of their own.
+DEDICATED = ("Aws", "GitHub", "GitLab", "Slack", "Stripe", "OpenAi", "Anthropic", "SendGrid", "Datadog", "HuggingFace", "DigitalOcean", "Twilio", "Npm", "Discord", "Telegram", "PyPi", "Shopify", "Linear", "NewRelic")
+
+
+def dedicated(type_id: Column) -> Column:
+    """True for types of a provider with a check of its own."""
+    return type_id.rlike("^(" + "|".join(DEDICATED) + ")[A-Z]")
+
+
 def verification_tier(type_id: Column, dedicated: Iterable[str], services: Iterable[str]) -> Column:
     return F.when(type_id.isin(*dedicated), 1).when(type_id.isin(*services), 2).otherwise(3)
 
@@ -157,6 +317,16 @@ ROTATION = {
     "GitLabPat": "Regenerate at gitlab.com/-/profile/personal_access_tokens",
     "StripeApiKey": "Regenerate at dashboard.stripe.com/apikeys (roll key)",
     "SlackToken": "Regenerate at api.slack.com/apps (reinstall app)",
+    "SendGridApiKey": "Regenerate at app.sendgrid.com/settings/api_keys",
+    "OpenAiApiKey": "Regenerate at platform.openai.com/api-keys",
+    "AnthropicApiKey": "Regenerate at console.anthropic.com/settings/keys",
+    "HuggingFaceToken": "Regenerate at huggingface.co/settings/tokens",
+    "DigitalOceanToken": "Regenerate at cloud.digitalocean.com/account/api/tokens",
+    "DockerHubToken": "Regenerate at hub.docker.com/settings/security",
+    "DatadogApiKey": "Regenerate at app.datadoghq.com/organization-settings/api-keys",
+    "DiscordBotToken": "Regenerate at discord.com/developers/applications",
+    "TelegramBotToken": "Regenerate via @BotFather on Telegram",
+    "TwilioApiKey": "Regenerate at twilio.com/console",
     "NpmToken": "npm token revoke <TOKEN> && npm token create",
     "HashiCorpVaultToken": "vault token revoke <TOKEN> && vault token create",
     "RsaPrivateKey": "Generate new key pair: ssh-keygen -t ed25519",

@@ -210,10 +210,10 @@ def d04_catalogue_scan(spark, d):
     return M.findings(lines(spark, d), rules(spark)).select("path", "line_number", "type_id", "value", "start", "end", "severity")
 
 
-@query("SELECT doc_id, round(sum(-p * log2(p)), 6) AS entropy FROM (SELECT doc_id, c, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, unnest(string_split(substring(text, 1, 200), '')) AS c FROM documents WHERE text <> '') GROUP BY doc_id, c) GROUP BY doc_id")
+@query("SELECT doc_id, round(sum(-p * log2(p)), 6) AS entropy FROM (SELECT doc_id, c, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> '') GROUP BY doc_id, c) GROUP BY doc_id")
 def d06_shannon_entropy(spark, d):
     t = spark.read.parquet(f"{d}/documents.parquet").filter("text <> ''")
-    return t.select("doc_id", F.round(X.shannon_entropy(F.substring("text", 1, 200)), 6).alias("entropy"))
+    return t.select("doc_id", F.round(X.shannon_entropy(F.col("text")), 6).alias("entropy"))
 
 
 @query(on_found("SELECT path, line_number, type_id, round(entropy, 6) AS entropy, round(confidence, 6) AS confidence, severity FROM found"))
@@ -346,7 +346,7 @@ def t02_trace_type(spark, d):
     return R.trace_type(found(spark, d), "private key")
 
 
-@query(on_found("SELECT path, line_number, type_id, CASE WHEN type_id = 'AwsAccessKey' THEN regexp_matches(value, '^(AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|A3T)') AND strlen(value) = 20 ELSE strlen(value) >= 8 AND NOT regexp_matches(value, '[ \\t\\n\\r\\f]') END AS validated FROM found"))
+@query(on_found("SELECT path, line_number, type_id, CASE WHEN type_id = 'AwsAccessKey' THEN regexp_matches(value, '^(AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|A3T)') AND strlen(value) = 20 WHEN type_id = 'RsaPrivateKey' THEN true WHEN type_id = 'PostgresConnectionString' THEN strlen(value) >= 10 ELSE strlen(value) >= 8 AND NOT regexp_matches(value, '[ \\t\\n\\r\\f]') END AS validated FROM found"))
 def v01_verify_format(spark, d):
     return R.verify_format(found(spark, d), R.format_rules(spark)).select("path", "line_number", "type_id", "validated")
 

@@ -19,7 +19,7 @@ CERTIFICATES = r"^etc/ssl/certs/ca-(certificates|bundle)\.crt$|^etc/ssl/cert\.pe
 REPORT_NAMES = ("report.html", "results.json", "results.sarif", "scan.json", "scan-results.json")
 
 
-def _decoded(files: DataFrame) -> DataFrame:
+def text_only(files: DataFrame) -> DataFrame:
     """Binary content that passes as text: no binary extension, no NUL in the first 512 bytes, valid UTF-8."""
     head = F.hex(F.substring("content", 1, 512))
     return files.filter(~P.is_binary_name(F.col("path")) & ~head.rlike("^(..)*00")).withColumn("content", F.try_validate_utf8(F.col("content"))).filter(F.col("content").isNotNull())
@@ -35,13 +35,13 @@ def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE, max_de
     files = files.filter(~inner.rlike(r"(^|/)\.git/") & (~inner.rlike("(^|/)target/") if include_deps else ~P.is_vendor(inner)))
     if max_depth is not None:
         files = files.filter(F.length(F.regexp_replace(inner, "[^/]", "")) <= max_depth)
-    return _decoded(files)
+    return text_only(files)
 
 
 def read_objects(spark: SparkSession, uri_prefix: str, max_bytes: int = MAX_OBJECT) -> DataFrame:
     """Objects below a key prefix of a store that Spark reads; empty and large ones and folder keys are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(uri_prefix).filter((F.col("length") > 0) & (F.col("length") <= max_bytes))
-    return _decoded(found.filter(~F.col("path").endswith("/")).select(F.regexp_replace("path", "^s3a://", "s3://").alias("path"), "content", "length"))
+    return text_only(found.filter(~F.col("path").endswith("/")).select(F.regexp_replace("path", "^s3a://", "s3://").alias("path"), "content", "length"))
 
 
 def read_image_tar(spark: SparkSession, tar_glob: str, image: str, max_bytes: int = MAX_ENTRY) -> DataFrame:
@@ -60,7 +60,7 @@ def read_image_tar(spark: SparkSession, tar_glob: str, image: str, max_bytes: in
     for prefix in SYSTEM_PREFIXES:
         system = system | F.col("entry").startswith(prefix)
     kept = rows.filter(~system & ~F.col("entry").rlike(CERTIFICATES))
-    return _decoded(kept.select(F.concat(F.lit(f"docker://{image}/"), "entry").alias("path"), "content", "length"))
+    return text_only(kept.select(F.concat(F.lit(f"docker://{image}/"), "entry").alias("path"), "content", "length"))
 
 
 def from_text(df: DataFrame, text_col: str, label: str = "<stdin>") -> DataFrame:
