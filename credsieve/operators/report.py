@@ -19,11 +19,10 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def json_report(found: DataFrame, version: str = "1.0") -> DataFrame:
-    """One row with the report as JSON. For reports that one row can't hold, write found as JSON lines instead."""
-    body = found.select(F.struct("display_name", "path", "line_number", "redacted_value", "severity", "confidence").alias("f"))
-    counts = summary(found).select(F.struct("*").alias("summary"))
-    rows = body.agg(F.array_sort(F.collect_list("f")).alias("findings"))
-    return rows.crossJoin(counts).select(F.to_json(F.struct(F.lit(version).alias("version"), F.col("summary.total").alias("total_findings"), "findings", "summary")).alias("report"))
+    """The report as JSON lines (part, json): one envelope with version, total and summary, and one finding a row, so that no row grows with the report."""
+    body = found.select(F.lit("finding").alias("part"), F.to_json(F.struct("display_name", "path", "line_number", "redacted_value", "severity", "confidence")).alias("json"))
+    head = summary(found).select(F.lit("envelope").alias("part"), F.to_json(F.struct(F.lit(version).alias("version"), F.col("total").alias("total_findings"), F.struct("*").alias("summary"))).alias("json"))
+    return head.union(body)
 
 
 def sarif_rules(found: DataFrame) -> DataFrame:
@@ -45,11 +44,15 @@ def report_rows(found: DataFrame) -> DataFrame:
 
 
 def webhook_payload(found: DataFrame, kind: str) -> DataFrame:
-    """Slack: the first 10 and how many more; teams: the first 20; generic: all, with redacted values. By severity, path, line."""
+    """kind, n, more, items. Slack: the first 10 and how many more; teams: the first 20; by severity, path, line. generic: all with redacted values, one payload for each file."""
     rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "HIGH", 1).when(F.col("severity") == "MEDIUM", 2).otherwise(3)
-    shown = found.select(rank.alias("r"), "path", "line_number", "display_name", "severity", "redacted_value").orderBy("r", "path", "line_number", "display_name", "redacted_value")
+    item = F.struct("r", "path", "line_number", "display_name", "severity", "redacted_value")
+    shown = found.select(rank.alias("r"), "path", "line_number", "display_name", "severity", "redacted_value")
     limit = {"slack": 10, "teams": 20}.get(kind)
-    items = (shown.limit(limit) if limit else shown).agg(F.array_sort(F.collect_list(F.struct("r", "path", "line_number", "display_name", "severity", "redacted_value"))).alias("items"))
+    if limit is None:
+        paged = shown.groupBy("path").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        return paged.select(F.lit(kind).alias("kind"), F.size("items").cast("long").alias("n"), F.lit(0).cast("long").alias("more"), F.to_json("items").alias("items"))
+    items = shown.orderBy("r", "path", "line_number", "display_name", "redacted_value").limit(limit).agg(F.array_sort(F.collect_list(item)).alias("items"))
     return items.crossJoin(found.agg(F.count("*").alias("n"))).select(F.lit(kind).alias("kind"), "n", F.greatest(F.lit(0), F.col("n") - F.size("items")).alias("more"), F.to_json("items").alias("items"))
 
 
@@ -304,8 +307,15 @@ def dedicated(type_id: Column) -> Column:
     return type_id.rlike("^(" + "|".join(DEDICATED) + ")[A-Z]")
 
 
-def verification_tier(type_id: Column, dedicated: Iterable[str], services: Iterable[str]) -> Column:
-    return F.when(type_id.isin(*dedicated), 1).when(type_id.isin(*services), 2).otherwise(3)
+# Types that a service's own interface can check.
+SERVICES = tuple(
+    "CloudflareApiToken VercelToken NetlifyPat NetlifyToken HerokuApiKey RenderApiKey HetznerApiToken VultrApiKey LinodeApiToken ScalewayApiKey CohereApiKey ReplicateApiKey GroqApiKey MistralApiKey PerplexityApiKey DeepgramApiKey AssemblyAiApiKey ElevenLabsApiKey WandBApiKey MailgunApiKey PostmarkApiToken BrevoApiKey ResendApiKey MailerSendApiKey MandrillApiKey SparkPostApiKey VonageApiKey MessageBirdApiKey NotionApiKey AirtableApiKey AirtableOAuthToken AsanaSecret AsanaClientId ClickUpPersonalToken FigmaPat TodoistApiKey TypeformApiToken IntercomAccessToken FreshdeskApiKey WrikeApiToken BitbucketAppPassword BitbucketToken CircleCiToken CircleCiPersonalToken TravisCiApiToken TravisCiToken BuildKiteApiToken PostmanApiToken CodecovAccessToken SnykApiToken SonarQubeToken PagerDutyApiKey PosthogApiKey BugSnagApiKey RollbarApiKey HoneycombApiKey HubSpotApiKey HubSpotPrivateAppToken ConvertKitApiKey KlaviyoApiKey MapboxToken FaunaDbApiKey PlanetScaleToken PlanetScalePassword NeonApiKey AivenApiToken InfluxDbToken SquareAccessToken SquareOAuthToken CoinbaseAccessToken GoCardlessApiToken PaddleApiKey LemonSqueezyApiKey RecurlyApiKey ContentfulApiToken StoryblokApiToken WebflowApiToken LaunchDarklyKey FastlyApiToken AlgoliaApiKey TwilioAuthToken BrowserStackAccessKey ShodanApiKey FullStoryApiKey SalesforceApiToken JFrogIdentityToken DatabricksToken SourcegraphAccessToken".split()
+)
+
+
+def verification_tier(type_id: Column, services: Iterable[str] = SERVICES) -> Column:
+    """2 for types in services, 1 for other types of a provider with a check of its own, 3 (format only) for the rest. Tiers 1 and 2 need a network."""
+    return F.when(type_id.isin(*services), 2).when(dedicated(type_id), 1).otherwise(3)
 
 
 # How to rotate a type.

@@ -76,7 +76,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES = """l0 AS (SELECT path, string_split(content, chr(10)) AS l FROM files),
 l1 AS (SELECT path, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM l0),
-lines AS (SELECT path, unnest(generate_series(1, len(l))) AS line_number, unnest(l) AS line FROM l1)"""
+lines AS (SELECT path, CAST(unnest(generate_series(1, len(l))) AS INTEGER) AS line_number, unnest(l) AS line FROM l1)"""
 _EXT = "CASE WHEN {n} = '.env' OR starts_with({n}, '.env.') THEN 'env' ELSE nullif(regexp_extract({n}, '^.+\\.([^.]*)$', 1), '') END"
 NAME = "regexp_extract(path, '([^/]*)$', 1)"
 EXT = _EXT.format(n=NAME)
@@ -180,11 +180,35 @@ def p07_line_marks(spark, d):
     return lines(spark, d).select("path", "line_number", X.is_comment(x).alias("is_comment"), X.inline_ignored(x).alias("ignored"), (F.octet_length(x) <= X.MAX_LINE_BYTES).alias("short"))
 
 
-@query(None)
+REP8 = "len(list_filter(generate_series(1, length({v}) - 7), lambda i: substring({v}, i, 8) = repeat(substring({v}, i, 1), 8) AND NOT contains('-=._ ', substring({v}, i, 1)))) > 0"
+BLOCKS = "len(list_filter(generate_series(0, length({v}) // {k} - 1), lambda i: substring({v}, 1 + i * {k}, {k}) = substring({v}, 1, {k})))"
+REPEATED = "(length({v}) >= 8 AND (" + REP8 + " OR length({v}) >= 12 AND (" + " OR ".join(f"{b} >= 3 AND {b} * {k} >= length({{v}}) * 0.6" for k, b in ((k, BLOCKS.replace("{k}", str(k))) for k in (2, 3, 4))) + ")))"
+
+
+@query(f"WITH files AS ({FILES}), {LINES} SELECT path, line_number, {REPEATED.format(v='line')} AS repeated FROM lines")
+def p09_has_repeated_pattern(spark, d):
+    return lines(spark, d).select("path", "line_number", X.has_repeated_pattern(F.col("line")).alias("repeated"))
+
+
+_WORDS = "|".join(X.DUMMIES)
+PLACEHOLDER = f"""WITH files AS ({FILES}), {LINES},
+v0 AS (SELECT *, lower(line) AS low FROM lines),
+v1 AS (SELECT *, regexp_replace(CASE WHEN contains(low, '=') THEN substring(low, instr(low, '=') + 1) WHEN contains(low, ':') THEN substring(low, instr(low, ':') + 1) ELSE low END, '^\\s+|\\s+$', '', 'g') AS v FROM v0),
+v2 AS (SELECT *, regexp_replace(v, '^["'']+|["'',;]+$', '', 'g') AS b FROM v1),
+marked AS (SELECT path, line_number, line, regexp_matches(low, '{"|".join(X.PLACEHOLDERS)}') OR contains(line, '{X.DOCUMENTED_KEYS[0]}') OR contains(line, '{X.DOCUMENTED_KEYS[1]}')
+           OR regexp_matches(b, '^({_WORDS})$') OR strlen(b) < 20 AND regexp_matches(b, '{_WORDS}') OR {REPEATED.format(v="b")} OR regexp_matches(v, '^["'']({_WORDS})') AS placeholder FROM v2)"""
+
+
+@query(PLACEHOLDER + " SELECT path, line_number, line FROM marked WHERE placeholder")
 def p08_is_placeholder(spark, d):
     return lines(spark, d).filter(X.is_placeholder(F.col("line"))).select("path", "line_number", "line")
 
 
+@query(PLACEHOLDER + " SELECT path, count(*) AS scannable FROM marked WHERE NOT placeholder AND strlen(line) <= 5000 GROUP BY path")
+def p10_scannable(spark, d):
+    return lines(spark, d).filter(X.scannable(F.col("line"))).groupBy("path").agg(F.count("*").alias("scannable"))
+
+
 @query(on_files("path, regexp_matches(path, '(?:^|/)tests/[^/]*\\.py$') AS tests_py, NOT regexp_matches(path, '(?:^|/)[^/]*\\.md$') AS not_md, regexp_matches(path, '(?:^|/)src0/(?:.*/)?[^/]*\\.yml$') AS deep"))
 def p14_glob_match(spark, d):
     p = F.col("path")
@@ -283,7 +307,7 @@ def a02_by_value(spark, d):
     return R.by_value(found(spark, d))
 
 
-@query(None)
+@query(on_found("SELECT CASE type_id WHEN 'AwsAccessKey' THEN 'AWS' WHEN 'RsaPrivateKey' THEN 'Private Keys' WHEN 'PostgresConnectionString' THEN 'Databases' ELSE 'Other' END AS category, count(*) AS n, count(DISTINCT type_id) AS types FROM found GROUP BY 1"))
 def a04_findings_by_category(spark, d):
     return found(spark, d).groupBy(P.secret_category(F.col("display_name")).alias("category")).agg(F.count("*").alias("n"), F.count_distinct("type_id").alias("types"))
 
@@ -310,7 +334,7 @@ def k04_webhook_payload(spark, d):
 
 @query(None)
 def k01_json_report(spark, d):
-    return R.json_report(found(spark, d).filter("is_test_file"))
+    return R.json_report(found(spark, d))
 
 
 def _old_new(spark, d):

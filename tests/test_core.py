@@ -13,6 +13,7 @@ from credsieve.operators import report as R
 from credsieve.operators import rules as U
 from credsieve.operators import structured as S
 from credsieve.operators import suppress as B
+from credsieve.plans import derived as _derived  # noqa: F401  adds its queries to Q
 from credsieve.plans import queries as Q
 from credsieve.sources import files as L
 from credsieve.sources import history as H
@@ -142,5 +143,7 @@ def test_entry(spark):
 
 def test_reports(spark):
     f = Q.found(spark, SMALL).cache()
-    assert '"total_findings":' in R.json_report(f).first()["report"]
+    lines = R.json_report(f)
+    assert '"total_findings":' in lines.filter("part = 'envelope'").first()["json"] and lines.count() == f.count() + 1
+    assert R.webhook_payload(f, "generic").count() == f.select("path").distinct().count()
     assert R.remediation_plan(f).filter("step = 1").count() == f.count()
