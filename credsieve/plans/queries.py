@@ -375,7 +375,11 @@ def v01_verify_format(spark, d):
     return R.verify_format(found(spark, d), R.format_rules(spark)).select("path", "line_number", "type_id", "validated")
 
 
-@query(None)
+_NAMES = "CASE type_id WHEN 'AwsAccessKey' THEN 'AWS Access Key' WHEN 'RsaPrivateKey' THEN 'RSA Private Key' WHEN 'PostgresConnectionString' THEN 'Postgres Connection String' WHEN 'GenericSecret' THEN 'Generic Secret' WHEN 'GenericApiKey' THEN 'Generic API Key' ELSE type_id END"
+_ROTATE = f"CASE type_id WHEN 'AwsAccessKey' THEN '{R.ROTATION['AwsAccessKey']}' WHEN 'RsaPrivateKey' THEN '{R.ROTATION['RsaPrivateKey']}' ELSE 'see the provider''s documentation' END"
+
+
+@query(on_found(f"SELECT path, line_number, type_id, CAST(s AS INTEGER) AS step, CASE s WHEN 1 THEN concat('rotate: ', {_ROTATE}) WHEN 2 THEN 'remove the value from history' ELSE concat('ignore: fingerprint:', sha256(concat_ws(':', {_NAMES}, path, value))) END AS action FROM found, generate_series(1, 3) g(s)"))
 def r01_remediation_plan(spark, d):
     return R.remediation_plan(found(spark, d))
 
