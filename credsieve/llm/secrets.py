@@ -7,6 +7,8 @@ import re
 import string
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +36,11 @@ _VALUES = [(name, {c: i for i, c in enumerate(a)}) for name, a in ENCODINGS]
 #: Lengths are compared with their like: a stratum starts at each of these.
 LENGTHS = (20, 24, 32, 48, 64, 128)
 #: Candidates for the least p-value that still passes as random, the most lenient first.
-LEVELS = (0.001, 0.005, 0.01, 0.02, 0.05)
-#: Part of the flagged tokens of a stratum that may be structured text, and the least part of a stratum that must look random at all.
-FALSE_DISCOVERY, LEAST_RANDOM = 0.05, 0.05
+LEVELS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3)
+#: Part of the flagged tokens of a stratum that may be structured text.
+FALSE_DISCOVERY = 0.05
+#: A stratum's tail of structured tokens counts for itself by its tokens, and for all strata of its length by so many.
+PRIOR_TOKENS = 20
 SPAN = "struct<start:int,end:int,encoding:string,stratum:int,p:double>"
 
 
@@ -141,18 +145,40 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def levels(tokens: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
     """encoding, stratum, level: the least p-value that passes as random in each stratum of tokens (encoding, stratum, p).
 
-    Random tokens have even p-values, structured ones mostly small. The thinnest of the upper ranges of p tells how many
-    tokens are random; what else lies above a level is structured. The lowest level at which that is at most a part q of
-    all above it holds. Short tokens, where the tests are weak and structured ones reach high p-values, so get a higher
-    level, or none: they must not make up more than the least level's yield allows.
+    Random tokens have even p-values, structured ones mostly small. A level holds if at most a part q of the tokens at or
+    above it is structured, and the lowest such level is taken, so that every token above has a q-value of at most q.
+    How many structured tokens lie above a level comes from two estimates. The first is their tail: hardly any random
+    token falls below 0.001, so that the three powers of ten in 1e-6..1e-3 count structured ones only, and the tail falls
+    on above them by the same ratio at least (small strata borrow from all encodings of their length). The second is what
+    is above the level beyond the even share of p >= 0.5; it has a standard error. The tail's estimate is taken, as far as it lies
+    within three standard errors of the second: few tokens are judged by the tail, many by their own distribution. How
+    small a part of the stratum is random does not matter.
     """
-    counts = [F.count_if(F.col("p") >= x).cast("double").alias(f"_n{i}") for i, x in enumerate(LEVELS)]
-    upper = [F.count_if(F.col("p") >= x) / (1 - x) for x in (0.25, 0.5, 0.75, 0.9)]
-    s = tokens.groupBy("encoding", "stratum").agg(F.count("*").alias("_n"), F.least(*upper).alias("_random"), *counts)
-    level = F.lit(None).cast("double")
-    for i, x in reversed(list(enumerate(LEVELS))):
-        level = F.when((F.col(f"_n{i}") > 0) & (F.col(f"_n{i}") - F.col("_random") * (1 - x) <= q * F.col(f"_n{i}")), F.lit(x)).otherwise(level)
-    return s.filter(F.col("_random") >= LEAST_RANDOM * F.col("_n")).select("encoding", "stratum", level.alias("level")).filter("level IS NOT NULL")
+    p = F.col("p")
+    counts = [F.count_if(p >= x).cast("double").alias(f"_n{i}") for i, x in enumerate(LEVELS)]
+    decades = [F.count_if((p >= 10.0**-k) & (p < 10.0 ** (1 - k))).cast("double").alias(f"_d{k}") for k in (4, 5, 6)]
+    s = tokens.groupBy("encoding", "stratum").agg(F.count("*").cast("double").alias("_n"), F.count_if(p >= 0.5).cast("double").alias("_high"), *decades, *counts)
+
+    def alike(g: pd.DataFrame) -> pd.DataFrame:  # a length's strata: at most one row per encoding
+        n = g["_n"].to_numpy()
+        d = g[["_d4", "_d5", "_d6"]].to_numpy()
+        d = n[:, None] * (d + PRIOR_TOKENS * d.sum(0) / n.sum()) / (n + PRIOR_TOKENS)[:, None]
+        ratio = np.minimum(0.999, (d[:, 0] + d[:, 1] + 1) / (d[:, 1] + d[:, 2] + 1))
+        last = (d * ratio[:, None] ** np.arange(3)).max(1)
+        tail = lambda x: last * (ratio ** (3 + math.log10(x)) - ratio**3) / (1 / ratio - 1)
+        high = g["_high"].to_numpy()
+        high = np.maximum(0, high - np.minimum(tail(0.5), 3 * np.sqrt(high)))  # what the tail has in the upper half isn't random
+        level = np.full(len(g), np.nan)
+        for i, x in reversed(list(enumerate(LEVELS))):
+            above = g[f"_n{i}"].to_numpy()
+            beyond = above - 2 * high * (1 - x)
+            error = 3 * np.sqrt(above - high + high * (1 - 2 * x) ** 2)
+            structured = np.maximum(0, np.maximum(beyond - error, np.minimum(tail(x), beyond + error)))
+            level[(above > 0) & (structured <= q * above)] = x
+        return g[["encoding", "stratum"]].assign(level=level)[level > 0]
+
+    kind = tokens.schema["stratum"].dataType.simpleString()
+    return s.groupBy("stratum").applyInPandas(alike, f"encoding string, stratum {kind}, level double")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, q: float = FALSE_DISCOVERY) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,33 @@ def test_secret_levels_flag_random_tokens(spark):
     assert sum(any(s.kind == "random" for s in got[i]) for i in range(200)) > 180 and not got[900]
 
 
+def test_secret_levels_by_false_discoveries(spark, tmp_path):
+    """Each seed is a stratum of a length of its own: purely random ones of 1, 20 and 200 tokens, 1% secrets, and structured ones of both kinds of tail."""
+    rng, seeds = random.Random(8), 20
+    slug = lambda: 10 ** -abs(rng.gauss(9, 2))  # noqa: E731  long words: hardly any above 0.001
+    short = lambda: 10 ** -abs(rng.gauss(2.5, 1.5))  # noqa: E731  20 letters: many
+    made = {f"random {n}": [(n, 0, rng.random)] for n in (1, 20, 200)} | {"few zero": [(20, 1980, float)], "few slug": [(20, 1980, slug)], "slug": [(0, 2000, slug)], "short": [(0, 2000, short)], "mixed": [(1000, 1000, short)]}
+    rows = []
+    for kind, ((secret, plain, p),) in made.items():
+        for seed in range(seeds):
+            at = len(made) * seed + list(made).index(kind)
+            rows += [(kind, at, rng.random(), True) for _ in range(secret)] + [(kind, at, p(), False) for _ in range(plain)]
+    pd.DataFrame(rows, columns=["encoding", "stratum", "p", "secret"]).to_parquet(tmp_path / "tokens.parquet")
+    tokens = spark.read.parquet(str(tmp_path / "tokens.parquet"))
+    level = {(r.encoding, r.stratum): r.level for r in secrets.levels(tokens.select("encoding", "stratum", "p")).collect()}
+    sure, found, false, all_ = collections.Counter(k for k, _ in level), collections.Counter(), collections.Counter(), collections.Counter()
+    for kind, at, p, secret in rows:
+        hit = p >= level.get((kind, at), 2)
+        found[kind] += hit and secret
+        false[kind] += hit and not secret
+        all_[kind] += secret
+    for kind in ("random 1", "random 20", "random 200", "few zero"):
+        assert sure[kind] >= 0.95 * seeds and found[kind] >= 0.95 * all_[kind], (kind, sure[kind], found[kind], all_[kind])
+    assert found["few slug"] >= 0.6 * all_["few slug"], (found, all_)
+    for kind in made:
+        assert false[kind] <= 0.1 * max(found[kind], seeds), (kind, found[kind], false[kind])
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     d = spark.read.parquet(f"{sf}/documents.parquet")
