@@ -50,34 +50,52 @@ def apportion(parties: DataFrame, seats: int, key: str = "source", votes: str =
     Seats near each party's exact share are settled at once; only quotients within what rounding can move compete, a
     number in proportion to the parties. Ties go to the key's order, null last. Parties without votes get none.
     """
-    if seats <= 0:
-        return parties.withColumn("quota", F.lit(0).cast("long"))
-    everything = Window.partitionBy(F.lit(0))
+    kept = parties.columns
+    return _houses(parties, [max(0, seats)], key, votes).select(*kept, "quota")
+
+
+def shard_quotas(parties: DataFrame, seats: int, shards: int, key: str = "source", votes: str = "target") -> DataFrame:
+    """Adds shard and quota, a row for each party and shard: the seats in order of their quotients fill the shards one after another.
+
+    Sainte-Laguë never takes a seat back when the house grows, so a shard's quota is what the party has of all seats up
+    to the shard's last, less what it has of those before.
+    """
+    ends = [max(0, seats) * (i + 1) // shards for i in range(shards)]
+    kept = parties.columns
+    before = Window.partitionBy(key).orderBy("_house")
+    return _houses(parties, ends, key, votes).select(*kept, F.col("_house").alias("shard"), (F.col("quota") - F.coalesce(F.lag("quota").over(before), F.lit(0))).alias("quota"))
+
+
+def _houses(parties: DataFrame, houses: Sequence[int], key: str, votes: str) -> DataFrame:
+    """parties for each house, with _house, its number, and quota: see apportion."""
+    everything = Window.partitionBy("_house")
     total, n = F.sum(votes).over(everything), F.count("*").over(everything)
+    seats = F.col("_seats")
     near = (
-        parties.withColumn("_share", F.coalesce(F.try_divide(F.col(votes), total), F.lit(0.0)))
+        parties.select("*", F.posexplode(F.array(*[F.lit(x).cast("long") for x in houses])).alias("_house", "_seats"))
+        .withColumn("_share", F.coalesce(F.try_divide(F.col(votes), total), F.lit(0.0)))
         .withColumn("_slack", F.ceil(2 * n * F.col("_share")) + 2)
         .withColumn("_low", F.greatest(F.lit(0), F.floor(F.col("_share") * seats) - F.col("_slack")).cast("long"))
         .withColumn("_high", (F.floor(F.col("_share") * seats) + F.col("_slack")).cast("long"))
-        .withColumn("_left", F.lit(seats) - F.sum("_low").over(everything))
+        .withColumn("_left", seats - F.sum("_low").over(everything))
     )
-    rivals = near.filter(F.col(votes) > 0).select(key, votes, "_left", F.explode(F.sequence(F.col("_low"), F.col("_high"))).alias("_k"))
-    rank = F.row_number().over(Window.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), F.col(key).isNull(), F.col(key), F.col("_k")))
-    won = rivals.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left")).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_won"))
-    kept = [c for c in parties.columns]
-    return near.join(won, near[key].eqNullSafe(won["_key"]), "left").select(*kept, F.when(F.col(votes) > 0, F.col("_low") + F.coalesce("_won", F.lit(0))).otherwise(0).cast("long").alias("quota"))
+    rivals = near.filter(F.col(votes) > 0).select(key, votes, "_house", "_left", F.explode(F.sequence(F.col("_low"), F.col("_high"))).alias("_k"))
+    rank = F.row_number().over(Window.partitionBy("_house").orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), F.col(key).isNull(), F.col(key), F.col("_k")))
+    won = rivals.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left")).groupBy(F.col(key).alias("_key"), F.col("_house").alias("_h")).agg(F.count("*").alias("_won"))
+    quota = F.when(F.col(votes) > 0, F.col("_low") + F.coalesce("_won", F.lit(0))).otherwise(0).cast("long")
+    return near.join(won, near[key].eqNullSafe(won["_key"]) & (near["_house"] == won["_h"]), "left").select(*parties.columns, "_house", quota.alias("quota"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = 17, shards: int = 8) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, whole, part_from, part_to, shard.
 
     Each source's documents lie end to end in seeded order and are cut into blocks of equal numbers of words. All blocks
-    of the mix are apportioned among the sources by target, which gives each source an integer quota; the seats in order
-    of their quotients fill the shards one after another, so that each shard's quotas are again the apportionment's. A
-    source's quota takes all its blocks so often as it can, then one seeded run of neighbouring blocks (a random sample,
-    as the order is random). ``whole`` counts how often the complete document is taken, words part_from..part_to come
-    once more; taken = whole * size + part_to - part_from, at most ``most`` times the size. ``shard`` is that of the
-    document's first block. The order is by hash and id, so that reruns agree.
+    of the mix are apportioned among the sources and shards by target (shard_quotas), which gives each source an integer
+    quota in each shard. A source's quota takes all its blocks so often as it can, then one seeded run of neighbouring
+    blocks (a random sample, as the order is random). Its shards take their quotas of these one after another, each block
+    as often as it comes. ``whole`` counts how often the complete document is taken, words part_from..part_to come once
+    more; taken = whole * size + part_to - part_from, at most ``most`` times the size. ``shard`` is that of the document's
+    first taken block, null if nothing is taken. The order is by hash and id, so that reruns agree.
 
     A block has BLOCK_WORDS words, fewer where that makes less than LEAST_BLOCKS blocks in all. Nulls: a null text has
     no words; a null source is a source of its own, the last; a null id is a value like others. Repeated rows count each.
@@ -97,9 +115,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slim = slim.withColumn("_bucket", F.pmod(F.shiftright("_at", 3), F.lit(buckets)))
     filled = slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     sources = source_targets(filled.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, budget, most)
-    quotas = apportion(sources, int(words * budget) // block).withColumn("_blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    dealt = shard_quotas(sources, int(words * budget) // block, shards)
+    # _ends: of a source's seats, how many there are up to the end of each shard
+    quotas = dealt.groupBy("source", "source_size", "target").agg(F.sum("quota").alias("quota"), F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("_own"))
+    quotas = quotas.withColumn("_ends", F.transform("_own", lambda x, i: F.aggregate(F.slice("_own", 1, i + 1), F.lit(0).cast("long"), lambda n, y: n + y["quota"]))).withColumn("_blocks", F.ceil(F.col("source_size") / block).cast("long"))
     plan = quotas.select(
-        "source", "source_size", "target", "quota", "_blocks",
+        "source", "source_size", "target", "quota", "_ends", "_blocks",
         F.least(F.when(F.col("_blocks") > 0, F.floor(F.col("quota") / F.col("_blocks"))).otherwise(0), F.lit(int(most))).cast("long").alias("_passes"),
     ).withColumns(
         {
@@ -121,13 +142,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     head, tail = over(F.lit(0), wrap), over(a, b)
     part = F.least(head + tail, F.col("size"))
     cut_from = F.when(head > 0, F.lit(0)).otherwise(F.greatest(F.lit(0), a - lo))
+    # the first taken block, and how many seats the source's blocks before it have
+    at = F.floor(F.when((F.col("_passes") > 0) | (head > 0), lo).otherwise(F.greatest(lo, a)) / block)
+    ran = F.least(at, F.greatest(F.lit(0), F.col("_first") + F.col("_run") - F.col("_blocks"))) + F.least(F.greatest(at - F.col("_first"), F.lit(0)), F.col("_run"))
+    seat = F.col("_passes") * at + ran
     return out.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("_passes") * F.col("size") + part).cast("long").alias("taken"),
         (F.col("_passes") + (part == F.col("size")).cast("long") * (F.col("size") > 0).cast("long")).alias("whole"),
         F.when((part > 0) & (part < F.col("size")), cut_from).otherwise(0).cast("long").alias("part_from"),
         F.when((part > 0) & (part < F.col("size")), cut_from + part).otherwise(0).cast("long").alias("part_to"),
-        F.when(F.col("_blocks") > 0, F.floor(F.floor(lo / block) * shards / F.col("_blocks"))).otherwise(0).cast("long").alias("shard"),
+        F.when((F.col("_passes") * F.col("size") + part) > 0, F.least(F.size(F.filter("_ends", lambda x: x <= seat)), F.lit(shards - 1))).cast("long").alias("shard"),
     )
 
 

@@ -156,6 +156,25 @@ def test_mix_comes_near_targets(spark):
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
 
 
+def test_mix_quotas_of_shards(spark):
+    votes = {"a": 500.0, "b": 300.0, "c": 7.5, "d": 0.0}
+    df = spark.createDataFrame(list(votes.items()), "source string, target double")
+    for seats in (0, 5, 101):
+        won, want = collections.Counter(), {(k, i): 0 for k in votes for i in range(4)}
+        for n in range(seats):
+            k = min(votes, key=lambda k: (-votes[k] / (2 * won[k] + 1), k))
+            won[k] += 1
+            want[k, next(i for i in range(4) if n < seats * (i + 1) // 4)] += 1
+        assert {(r.source, r.shard): r.quota for r in mixing.shard_quotas(df, seats, 4).collect()} == want
+    # a source whose target is far below its size still reaches every shard by its quota, and so does one that is taken twice
+    rows = [(i, "w " * 20, "en", "hot" if i % 10 else "ab"[i // 10 % 2]) for i in range(4000)]
+    got = mixing.mix(docs(spark, rows), weights=(3, 2, 1), budget=0.5).toPandas()
+    assert got.shard[got.taken == 0].isna().all() and got.shard[got.taken > 0].notna().all()
+    for _, g in got.groupby("source"):
+        words = g[g.taken > 0].groupby("shard").taken.sum()
+        assert len(words) == 8 and (abs(words - g.taken.sum() / 8) <= 60).all(), words
+
+
 def test_sharding_laws(spark):
     rows = [(i, "hot text " * 9 if i % 3 == 0 else f"text {i} " * (i % 50), "en", "a") for i in range(2000)]
     got = sharding.shard(docs(spark, rows), shards=10).toPandas()
