@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 
 from .common import cut
 
+LOG = logging.getLogger(__name__)
 CAPACITY = 1024
 END_ID = 2
 SALT_ROWS = 1 << 17
@@ -23,8 +25,12 @@ SALT_ROWS = 1 << 17
 # ---- configuration LP ----
 
 
-def best_configuration(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length is used in the fullest-valued sequence: an unbounded knapsack by dynamic programming."""
+def best_configurations(lengths: np.ndarray, value: np.ndarray, capacity: int, near: float = 0.02) -> list[np.ndarray]:
+    """How often each length is used in valuable sequences that share no length: an unbounded knapsack by dynamic programming.
+
+    The first is the fullest-valued one. The others are the best that hold a certain length, as far as their value is
+    at most a part ``near`` less.
+    """
     best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -34,53 +40,98 @@ def best_configuration(lengths: np.ndarray, value: np.ndarray, capacity: int) ->
             i = int(gain.argmax())
             if gain[i] > best[c]:
                 best[c], take[c] = gain[i], i
-    used, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
-        else:
-            used[take[c]] += 1
-            c -= lengths[take[c]]
-    return used
-
-
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 300, rate: float = 0.25) -> list[tuple[np.ndarray, float]]:
+    total = value + best[capacity - lengths]
+    free, out = np.ones(len(lengths), bool), []
+    for i in np.argsort(-total, kind="stable"):
+        if total[i] < (1 - near) * best[capacity] or not value[i] > 0:
+            break
+        used, c = {int(i): 1}, capacity - int(lengths[i])
+        while c > 0:
+            if take[c] < 0:
+                c -= 1
+            else:
+                used[int(take[c])] = used.get(int(take[c]), 0) + 1
+                c -= int(lengths[take[c]])
+        if all(free[k] for k in used):
+            row = np.zeros(len(lengths), np.int64)
+            for k, n in used.items():
+                row[k], free[k] = n, False
+            out.append(row)
+    return out
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.1, rate: float = 0.25) -> list[tuple[np.ndarray, float]]:
     """Configurations and how often to use each, so that every length's demand is covered, by multiplicative weights.
 
     Each length's weight falls exponentially with the part of its demand that is covered so far; the knapsack with the
-    weights per unit of demand as values prices the next configuration, which is used until it has covered a small part
-    of its scarcest length. Lengths that are covered have no weight.
+    weights per unit of demand as values prices the next configurations, each of which is used until it has covered a
+    part ``step`` of its scarcest length, but once at least where that has enough. Lengths that are covered have no
+    weight, so that each round covers a part of one that isn't: it ends after as many rounds as lengths over step.
     """
     covered, plan = np.zeros(len(lengths)), {}
-    step = 40.0 / rounds
-    while covered.min() < 1 and rounds:
-        rounds -= 1
+    while covered.min() < 1:
         weight = np.exp(-covered / rate)
         weight[covered >= 1] = 0
-        used = best_configuration(lengths, weight * lengths / np.maximum(weight @ (demand * lengths), 1e-300), capacity)
-        if not used.any():
+        chosen = best_configurations(lengths, weight * lengths / np.maximum(weight @ (demand * lengths), 1e-300), capacity)
+        if not chosen:
             break
-        at = used > 0
-        times = (demand[at] / used[at]).min() * step
-        covered[at] += used[at] * times / demand[at]
-        key = used.tobytes()
-        plan[key] = plan.get(key, 0.0) + times
+        for used in chosen:
+            at = used > 0
+            most = (demand[at] / used[at]).min()
+            times = max(most * step, min(1.0, most))
+            covered[at] += used[at] * times / demand[at]
+            key = used.tobytes()
+            plan[key] = plan.get(key, 0.0) + times
     return [(np.frombuffer(k, np.int64), x) for k, x in plan.items()]
 
 
+def best_fit(left: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Best fit, longest first, on counts of lengths: sequences of equal contents are one entry with their number."""
+    rooms: dict[int, dict[tuple[int, ...], int]] = {}  # space left -> contents -> number
+    spaces: list[int] = []  # sorted, of sequences that are begun
+
+    def put(space: int, contents: tuple[int, ...], number: int) -> None:
+        if not rooms.get(space):
+            bisect.insort(spaces, space)
+            rooms[space] = {}
+        rooms[space][contents] = rooms[space].get(contents, 0) + number
+
+    for n in sorted(left, reverse=True):
+        count = left[n]
+        while count:
+            i = bisect.bisect_left(spaces, n)
+            if i < len(spaces):
+                space = spaces[i]
+                contents, number = rooms[space].popitem()
+                if not rooms[space]:
+                    spaces.pop(i)
+            else:
+                space, contents, number = capacity, (), count
+            # what is begun has less room than all others that fit, so it takes as many as it can
+            each = min(space // n, count)
+            some = min(number, count // each)
+            if contents and number > some:
+                put(space, contents, number - some)
+            put(space - each * n, contents + (n,) * each, some)
+            count -= each * some
+    return [(list(c), k) for space in spaces for c, k in rooms[space].items()]
+
+
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """(lengths side by side, number of such sequences), covering the histogram exactly.
 
-    The linear program's solution is rounded down, what is left is solved and rounded again while that uses up a tenth,
-    and the last pieces go by best fit, longest first. Lengths that fill a sequence are set aside first.
+    The linear program's solution is rounded, what is left is solved and rounded again as long as that places anything,
+    and the rest goes by best fit, longest first. Lengths that fill a sequence are set aside first. The share of the
+    tokens that the linear program places is logged.
     """
     out: list[tuple[list[int], int]] = []
     left = {n: c for n, c in sorted(histogram.items()) if c > 0}
     if capacity in left:
         out.append(([capacity], left.pop(capacity)))
+    asked = sum(n * c for n, c in left.items())
     while left:
         lengths, demand = np.array(list(left)), np.array(list(left.values()), np.int64)
-        open_, before = demand.copy(), int(demand @ lengths)
+        open_ = demand.copy()
         for used, x in sorted(solve(lengths, demand, capacity), key=lambda p: -p[1]):
             at = used > 0
             full = int(lengths @ used) >= capacity - capacity // 256
@@ -89,20 +140,11 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
                 out.append((np.repeat(lengths, used)[::-1].tolist(), times))
                 open_ -= used * times
         left = {int(n): int(c) for n, c in zip(lengths, open_) if c}
-        if int(open_ @ lengths) > 0.9 * before:
+        if (open_ == demand).all():
             break
-    room: list[tuple[int, int]] = []  # (space left, number of the sequence), sorted
-    rest: list[list[int]] = []
-    for n in sorted(left, reverse=True):
-        for _ in range(left[n]):
-            i = bisect.bisect_left(room, (n, -1))
-            space, at = room.pop(i) if i < len(room) else (capacity, len(rest))
-            if at == len(rest):
-                rest.append([])
-            rest[at].append(n)
-            if space > n:
-                bisect.insort(room, (space - n, at))
-    return out + [(r, 1) for r in rest]
+    rest = sum(n * c for n, c in left.items())
+    LOG.info("packing: the linear program places %d of %d tokens below the capacity, best fit %d", asked - rest, asked, rest)
+    return out + best_fit(left, capacity)
 
 
 # ---- tokens ----

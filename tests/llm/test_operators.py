@@ -136,6 +136,20 @@ def test_configurations_cover_exactly():
     assert made == h
 
 
+def test_linear_program_places_most(caplog):
+    caplog.set_level("INFO", logger=packing.LOG.name)
+    h = {n: 10 for n in range(1, 1024)}
+    made, out = collections.Counter(), packing.configurations(dict(h))
+    for lengths, times in out:
+        for n in lengths:
+            made[n] += times
+    placed, asked = caplog.records[-1].args[:2]
+    assert made == h and asked == sum(n * c for n, c in h.items()) and placed > 0.85 * asked
+    assert sum(times for _, times in out) <= 1.02 * asked / 1024
+    # equal contents are one entry
+    assert sorted(packing.best_fit({300: 3000, 400: 1000}, 1024)) == [([300, 300, 300], 1000), ([400, 400], 500)]
+
+
 def test_sainte_lague(spark):
     rng = random.Random(3)
     votes = {f"s{i:02}": rng.choice([0, 1, 7, 7, 1000]) * rng.random() for i in range(30)}
