@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..llm.common import cut
+
 
 def commits(patches: DataFrame) -> DataFrame:
     """patches: one row per commit (patch: its ``git log -p`` text). -> commit_hash, commit_author, commit_date, patch"""
@@ -36,10 +38,26 @@ def added_lines(history: DataFrame) -> DataFrame:
 
 
 def ancestors(edges: DataFrame, commit: str) -> DataFrame:
-    """commit_hash of a commit and all its ancestors over edges (child, parent)."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_commit_edges")
-    return spark.sql("WITH RECURSIVE a(commit_hash) AS (SELECT :c UNION ALL SELECT DISTINCT e.parent FROM a JOIN _commit_edges e ON e.child = a.commit_hash) SELECT DISTINCT commit_hash FROM a", {"c": commit})
+    """commit_hash of a commit and all its ancestors over edges (child, parent), however deep the history is.
+
+    Along one parent of each commit the ancestors are found by pointer doubling; other parents of what is reached start
+    the next round, until nothing new is found. Tables between the steps lie in the shared folder.
+    """
+    links = cut(edges.filter("child IS NOT NULL AND parent IS NOT NULL AND child <> parent").select("child", "parent").distinct())
+    jump, jumps, reach, most = cut(links.groupBy("child").agg(F.min("parent").alias("parent"))), [], 1, links.count()
+    while reach <= most and not jump.isEmpty():  # longer ways than there are edges only run in circles
+        jumps.append(jump)
+        jump = cut(jump.alias("a").join(jump.alias("b"), F.col("a.parent") == F.col("b.child")).select("a.child", "b.parent"))
+        reach *= 2
+    front = edges.sparkSession.range(1).select(F.lit(commit).alias("commit_hash"))
+    own = None
+    while True:
+        for j in jumps:
+            front = cut(front.union(front.join(j, F.col("commit_hash") == F.col("child")).select("parent")).distinct())
+        own = front if own is None else cut(own.union(front).distinct())
+        front = cut(links.join(own, F.col("child") == F.col("commit_hash"), "left_semi").select(F.col("parent").alias("commit_hash")).distinct().join(own, "commit_hash", "left_anti"))
+        if front.isEmpty():
+            return own
 
 
 def commit_range(edges: DataFrame, history: DataFrame, start: str | None, end: str, limit: int | None = None) -> DataFrame:
