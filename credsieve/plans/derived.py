@@ -5,9 +5,6 @@ Importing this module adds its queries to those of plans.queries.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -19,6 +16,7 @@ from ..operators import structured as S
 from ..operators import suppress as B
 from ..sources import files as L
 from ..sources import history as H
+from ..storage import new_path
 from ..streaming import scan as W
 from .queries import CUSTOM, FEW, FILES, LINES, NAME, TEST, few_rules, files, found, lines, on_files, on_found, query
 
@@ -346,10 +344,7 @@ def _line_stream(spark, d):
 def _drained(df, mode: str = "append"):
     """All that is there now, through the stream, into a table in the shared folder."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     df.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..llm.common import cut
+from ..storage import cut
 
 
 def commits(patches: DataFrame) -> DataFrame:
