@@ -150,24 +150,29 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
 # ---- tokens ----
 
 
+#: The vocabulary's special token.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 def encoder(vocabulary: str | None = None):
     """A function text -> ids of the byte-level vocabulary.
 
     tiktoken on the vocabulary's ranks, not tokenizers on its JSON file: the ids are the same, for a fifth of the time.
-    The string of the special token is ordinary text, as with tokenizers' encode_special_tokens = True; with that
-    library's default it would be the one id 50256.
+    The string of a special token is that token's one id, as with that library's default.
     """
+    import public_tokenizers
     import tiktoken
 
-    if vocabulary is None:
-        import public_tokenizers
+    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
-        vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    import public_tokenizers
+    def encode(text: str) -> list[int]:
+        if any(s in text for s in SPECIAL):
+            return plain.encode(text, allowed_special="all")
+        return plain.encode_ordinary(text)
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return encode
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
@@ -197,8 +202,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
     where; every piece then finds its place from its length and rank. Ranks are counted per length and salt, so that a
     length that many copies share is no single task's work.
 
-    A null or empty text is a document of the end id alone. Repeated rows are packed each. An empty table gives an empty
-    result. Other columns are ignored. Sequences count from 0 without gaps; offsets are gapless from 0 in each.
+    A null or empty text is a document of the end id alone; a very long one is cut into as many pieces as it needs.
+    Repeated rows are packed each. An empty table gives an empty result. Other columns are ignored, whatever their names. Sequences count from 0 without gaps; offsets are gapless from 0 in each.
     """
     cuts = cut(pieces(docs, id_col, text_col, capacity, vocabulary))
     histogram = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -116,7 +116,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for text in ["", "a  b\n\n c", "it's <|endoftext|> ² ½ \x1c\x85\xa0 é 日本"] + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect()]:
         assert packing.encoder()(text) == t.encode(text, add_special_tokens=False).ids
     for r in got[got.doc_id == 7].itertuples():
