@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names like these that docs doesn't have, in upper or lower case."""
+    had, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in had:
+            name += "_"
+        had.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id's decimal digits, modulo n; rows without an id count as 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))

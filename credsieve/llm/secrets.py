@@ -20,7 +20,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 #: What the battery looks at: runs of these characters that are long enough for the tests to tell words from noise.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Encodings from the smallest alphabet to the largest; a token's is the first that has all its characters.
 ENCODINGS = (
     ("hex", string.digits + "abcdef"),
@@ -34,7 +34,7 @@ ENCODINGS = (
 )
 _VALUES = [(name, {c: i for i, c in enumerate(a)}) for name, a in ENCODINGS]
 #: Lengths are compared with their like: a stratum starts at each of these.
-LENGTHS = (20, 24, 32, 48, 64, 128)
+LENGTHS = (16, 20, 24, 32, 48, 64, 128)
 #: Candidates for the least p-value that still passes as random, the most lenient first.
 LEVELS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3)
 #: Part of the flagged tokens of a stratum that may be structured text.
@@ -117,12 +117,12 @@ def stratum(n: int) -> int:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> tuple[list[dict], list[bool]]:
-    """The battery's tokens of a text, and which of them overlap a base span."""
-    found, taken = [], []
+    """The battery's tokens of a text, and which of them are a base span already."""
+    found, taken, known = [], [], {(s, e) for s, _, e in base}
     for m in TOKEN.finditer(text):
         if got := infer(m[0]):
             found.append({"start": m.start(), "end": m.end(), "encoding": got[0], "stratum": stratum(len(got[1])), "p": battery(*got[1:])})
-            taken.append(any(s < m.end() and m.start() < e for s, _, e in base))
+            taken.append((m.start(), m.end()) in known)
     return found, taken
 
 
@@ -185,11 +185,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc_id and spans, an array of (start, end, kind) in code points, by start, then kind.
 
     Kinds assign, access and hex are base patterns. Kind random holds further tokens whose characters pass the tests of
-    randomness in their encoding, at a level set per encoding and length over all tokens of the table (see levels). A
-    token that overlaps a base span adds nothing. The levels are at most encodings x lengths rows, which bounds the
-    broadcast.
-
-    A null text counts as empty and has no spans. Repeated rows are scanned each. An empty table gives an empty result.
+    randomness in their encoding, at a level set per encoding and length over all tokens of the table (see levels): the
+    value of an assignment is judged by itself, but a token that is a base span already adds nothing. Short tokens give
+    the tests little power; a stratum whose structured tokens can't be told from random ones has no level and adds
+    nothing. The levels are at most encodings x lengths rows, which bounds the broadcast.
+
+    A null text counts as empty and has no spans. Texts of any length are scanned whole, a text at a time. Repeated rows
+    are scanned each; ties of the levels are all flagged. An empty table gives an empty result. Other columns are
+    ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
