@@ -195,6 +195,32 @@ def test_sharding_laws(spark):
     assert size.max() <= 1.01 * size.mean() and (got.groupby("shard").slot.max() + 1 == got.groupby("shard").size()).all() and not got.duplicated(["shard", "slot"]).any()
 
 
+def test_sharding_keeps_groups_whole(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hot = d.limit(1).select("doc_id", F.lit("hot text here").alias("text"), "lang", "source", "n_chars").join(spark.range(700).withColumnRenamed("id", "k")).select((F.col("k") + 10**6).alias("doc_id"), "text", "lang", "source", "n_chars")
+    for table in (d, d.unionByName(hot)):
+        got = sharding.shard(table).join(table.select("doc_id", "text"), "doc_id").toPandas()
+        size = got.groupby("shard")["size"].sum()
+        assert abs(size / size.mean() - 1).max() <= 0.01
+        assert (got.groupby("shard").slot.max() + 1 == got.groupby("shard").size()).all() and not got.duplicated(["shard", "slot"]).any()
+        # only a group above a shard's share of bytes, tokens or rows is split
+        g = got.groupby("text").agg(homes=("shard", "nunique"), b=("size", "sum"), t=("tokens", "sum"), r=("shard", "size"))
+        most = np.maximum.reduce([g.b / g.b.sum(), g.t / g.t.sum(), g.r / g.r.sum()]) * 40
+        assert (most[g.homes > 1] > 1).all() and (g.homes > 1).sum() == (table is not d)
+
+
+def test_placement_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n, shards in ((1, 3), (40, 4), (200, 7)):
+        sizes = rng.integers(1, 50, (n, 3)).astype(float)
+        unit, left, want = sizes / sizes.sum(0) * shards, [[1.0] * 3 for _ in range(shards)], {}
+        for i in sorted(range(n), key=lambda i: (-max(unit[i]), i)):
+            dots = [sum(a * b for a, b in zip(x, unit[i])) for x in left]
+            want[i] = max(range(shards), key=lambda j: (round(dots[j], 9), -j))
+            left[want[i]] = [a - b for a, b in zip(left[want[i]], unit[i])]
+        assert sharding.place(sizes, shards, repairs=0).tolist() == [want[i] for i in range(n)]
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://WWW.example.com/en/x?q"), (4, "http://a.example.com/en/x#f"), (5, "https://x.net/es/"), (6, "https://example.com"), (7, "http://notnet/es/1"), (8, "http://shop.com/a/://b")]
     got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
