@@ -25,11 +25,11 @@ SALT_ROWS = 1 << 17
 # ---- configuration LP ----
 
 
-def best_configurations(lengths: np.ndarray, value: np.ndarray, capacity: int, near: float = 0.02) -> list[np.ndarray]:
+def best_configurations(lengths: np.ndarray, value: np.ndarray, capacity: int, near: float = 0.2) -> list[np.ndarray]:
     """How often each length is used in valuable sequences that share no length: an unbounded knapsack by dynamic programming.
 
     The first is the fullest-valued one. The others are the best that hold a certain length, as far as their value is
-    at most a part ``near`` less.
+    at most a part ``near`` less. Ties go to longer pieces: short ones fit everywhere later.
     """
     best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
@@ -37,12 +37,12 @@ def best_configurations(lengths: np.ndarray, value: np.ndarray, capacity: int, n
         best[c] = best[c - 1]
         if n := fits[c]:
             gain = best[c - lengths[:n]] + value[:n]
-            i = int(gain.argmax())
+            i = n - 1 - int(gain[::-1].argmax())
             if gain[i] > best[c]:
                 best[c], take[c] = gain[i], i
     total = value + best[capacity - lengths]
     free, out = np.ones(len(lengths), bool), []
-    for i in np.argsort(-total, kind="stable"):
+    for i in np.lexsort((-lengths, -total)):
         if total[i] < (1 - near) * best[capacity] or not value[i] > 0:
             break
         used, c = {int(i): 1}, capacity - int(lengths[i])
@@ -60,19 +60,22 @@ def best_configurations(lengths: np.ndarray, value: np.ndarray, capacity: int, n
     return out
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.1, rate: float = 0.25) -> list[tuple[np.ndarray, float]]:
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.3, rate: float = 0.25) -> list[tuple[np.ndarray, float]]:
     """Configurations and how often to use each, so that every length's demand is covered, by multiplicative weights.
 
     Each length's weight falls exponentially with the part of its demand that is covered so far; the knapsack with the
     weights per unit of demand as values prices the next configurations, each of which is used until it has covered a
     part ``step`` of its scarcest length, but once at least where that has enough. Lengths that are covered have no
     weight, so that each round covers a part of one that isn't: it ends after as many rounds as lengths over step.
+
+    Values rise faster than lengths, up to twice as much a token for a full sequence, as the program's own prices do where
+    long pieces are what is hard to place: configurations that only hold short pieces would use up what fills the gaps.
     """
-    covered, plan = np.zeros(len(lengths)), {}
+    covered, plan, steep = np.zeros(len(lengths)), {}, lengths * (1 + lengths / capacity)
     while covered.min() < 1:
         weight = np.exp(-covered / rate)
         weight[covered >= 1] = 0
-        chosen = best_configurations(lengths, weight * lengths / np.maximum(weight @ (demand * lengths), 1e-300), capacity)
+        chosen = best_configurations(lengths, weight * steep / np.maximum(weight @ (demand * lengths), 1e-300), capacity)
         if not chosen:
             break
         for used in chosen:

@@ -144,7 +144,7 @@ def test_linear_program_places_most(caplog):
             made[n] += times
     placed, asked = caplog.records[-1].args[:2]
     assert made == h and asked == sum(n * c for n, c in h.items()) and placed > 0.85 * asked
-    assert sum(times for _, times in out) <= 1.02 * asked / 1024
+    assert sum(times for _, times in out) <= 1.002 * asked / 1024
     # equal contents are one entry
     assert sorted(packing.best_fit({300: 3000, 400: 1000}, 1024)) == [([300, 300, 300], 1000), ([400, 400], 500)]
 
