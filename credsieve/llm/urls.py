@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import string
 from collections.abc import Iterator, Sequence
 
@@ -11,13 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share
+from .common import cut
 
 #: (verdict, host and path); the longest that fits wins.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 ORDER = 4
-#: The models are fitted on at most about so many URLs that a rule judges, and calibrated on a quarter as many others.
-SAMPLE = 20_000
+#: Counts lie in hashed slots (a count-min sketch), 16 for each distinct key but at most so many: 96 MB in all, which bounds what is broadcast.
+LEAST_SLOTS, MOST_SLOTS = 1 << 10, 1 << 22
+#: A key has three slots, by these bits of its hash.
+SHIFTS = (0, 21, 42)
+#: The calibration sees differences in steps of 1 / STEPS up to LIMIT, so that at most so many counts reach the driver.
+STEPS, LIMIT = 128, 8
 START, END = "\x02", "\x03"
 
 
@@ -41,42 +44,84 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 
 class Markov:
-    """Counts of the character after each context of up to ORDER characters, for both classes: an interpolated model of variable order with Witten-Bell smoothing. {context: {next: (accepted, rejected)}}"""
-
-    def __init__(self, counts: dict[str, dict[str, tuple[int, int]]], order: int):
-        self.counts, self.order, self.known = counts, order, {}
-        self.sums = {c: [(sum(n[k] for n in d.values()), sum(n[k] > 0 for n in d.values())) for k in (0, 1)] for c, d in counts.items()}
-
-    def chance(self, context: str, char: str, k: int) -> float:
-        p = 1 / 256
-        for n in range(len(context) + 1):  # from no context to the longest
-            c = context[len(context) - n :]
-            total, kinds = self.sums.get(c, ((0, 0), (0, 0)))[k]
-            if not total:
-                break
-            p = (self.counts[c].get(char, (0, 0))[k] + kinds * p) / (total + kinds)
-        return p
-
-    def difference(self, url: str) -> float:
-        """Log-likelihood as accepted less that as rejected, per character."""
-        text, known, total = START * self.order + url + END, self.known, 0.0
-        for i in range(self.order, len(text)):
-            window = text[i - self.order : i + 1]
-            if (x := known.get(window)) is None:
-                if len(known) > 1_000_000:
-                    known.clear()
-                x = known[window] = math.log(self.chance(window[:-1], window[-1], 0)) - math.log(self.chance(window[:-1], window[-1], 1))
-            total += x
-        return total / (len(url) + 1)
-
-
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of P(accepted | x), by Newton's method on a slightly shrunk logistic likelihood."""
+    """Two interpolated models of variable order with Witten-Bell smoothing, one for accepted and one for rejected URLs.
+
+    grams: for each slot, how often its characters in context came, accepted and rejected. contexts: how often its
+    contexts came, and how many kinds of characters came after them, each accepted and rejected. The least of a key's
+    slots counts.
+    """
+
+    def __init__(self, grams: np.ndarray, contexts: np.ndarray, order: int):
+        self.grams, self.contexts, self.order, self.known = grams, contexts, order, {}
+
+    @staticmethod
+    def look(counts: np.ndarray, keys: list[str]) -> np.ndarray:
+        """The counts of each key, by Spark's xxhash64."""
+        import xxhash
+
+        h = np.fromiter((xxhash.xxh64_intdigest(k.encode(), 42) for k in keys), np.uint64, len(keys))
+        return np.minimum.reduce([counts[((h >> np.uint64(x)) & np.uint64(len(counts) - 1)).astype(np.int64)] for x in SHIFTS]).astype(float)
+
+    def ratios(self, windows: list[str]) -> np.ndarray:
+        """Log of the chance of each window's last character after those before it, as accepted less as rejected."""
+        p, going = np.full((len(windows), 2), 1 / 256), np.ones((len(windows), 2), bool)
+        for n in range(self.order + 1):  # from no context to the longest
+            keys = [w[self.order - n :] for w in windows]
+            seen, about = self.look(self.grams, keys), self.look(self.contexts, [k[:-1] for k in keys])
+            total, kinds = about[:, :2], about[:, 2:]
+            going &= total > 0
+            p = np.where(going, (seen + kinds * p) / np.maximum(total + kinds, 1), p)
+        return np.log(p[:, 0] / p[:, 1])
+
+    def differences(self, urls: list[str]) -> list[float]:
+        """Log-likelihood as accepted less that as rejected, per character, of each URL."""
+        known, out = self.known, []
+        if len(known) > 1_000_000:
+            known.clear()
+        for k in range(0, len(urls), 512):
+            padded = [START * self.order + u + END for u in urls[k : k + 512]]
+            windows = [[t[i - self.order : i + 1] for i in range(self.order, len(t))] for t in padded]
+            new = [w for w in {w for own in windows for w in own} if w not in known]
+            known.update(zip(new, self.ratios(new).tolist(), strict=True))
+            out += [sum(map(known.__getitem__, own)) / len(own) for own in windows]
+        return out
+
+
+def count_slots(texts: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Counts for Markov over all texts (_text, _accepted), made in Spark; None if one class is missing."""
+    padded = F.concat(F.lit(START * order), "_text", F.lit(END))
+    windows = (
+        texts.select("_accepted", padded.alias("_p"))
+        .select("_accepted", "_p", F.explode(F.sequence(F.lit(order + 1), F.length("_p"))).alias("_i"))
+        .select("_accepted", F.expr(f"substring(_p, _i - {order}, {order + 1})").alias("_w"))
+        .groupBy("_w").agg(F.count_if("_accepted").alias("_a"), F.count_if(~F.col("_accepted")).alias("_r"))
+    )
+    ends = F.explode(F.array(*[F.substring("_w", order + 1 - n, n + 1) for n in range(order + 1)]))
+    keys = cut(windows.select(ends.alias("_key"), "_a", "_r").groupBy("_key").agg(F.sum("_a").alias("_a"), F.sum("_r").alias("_r")))
+    n, *both = keys.agg(F.count("*"), F.sum("_a"), F.sum("_r")).first()
+    if not n or not all(both):
+        return None
+    before = cut(keys.groupBy(F.expr("left(_key, length(_key) - 1)").alias("_key")).agg(*[F.sum(c).alias(c) for c in ("_a", "_r")], F.count_if(F.col("_a") > 0).alias("_ka"), F.count_if(F.col("_r") > 0).alias("_kr")))
+
+    def dense(df: DataFrame, n: int, columns: tuple[str, ...]) -> np.ndarray:
+        slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (16 * n - 1).bit_length()))
+        own = F.array_distinct(F.array(*[F.shiftrightunsigned("_h", x).bitwiseAND(F.lit(slots - 1)) for x in SHIFTS]))
+        spread = df.withColumn("_h", F.xxhash64("_key")).select(F.explode(own).alias("_slot"), *columns)
+        out, got = np.zeros((slots, len(columns)), np.float32), spread.groupBy("_slot").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+        for k, c in enumerate(columns):
+            out[got["_slot"].to_numpy(), k] = got[c].to_numpy()
+        return out
+
+    return dense(keys, n, ("_a", "_r")), dense(before, before.count(), ("_a", "_r", "_ka", "_kr"))
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, n: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and intercept of P(accepted | x) over n cases each, by Newton's method on a slightly shrunk logistic likelihood."""
     slope, base = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(slope * x + base, -30, 30)))
-        w = p * (1 - p)
-        g = np.array([((p - y) * x).sum() + 1e-3 * slope, (p - y).sum() + 1e-3 * base])
+        w = n * p * (1 - p)
+        g = np.array([(n * (p - y) * x).sum() + 1e-3 * slope, (n * (p - y)).sum() + 1e-3 * base])
         h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
         slope, base = slope - step[0], base - step[1]
@@ -85,52 +130,41 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(base)
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[tuple[str, str]] = RULES, order: int = ORDER, sample: int = SAMPLE) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[tuple[str, str]] = RULES, order: int = ORDER) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (chance that the URL is accepted).
 
-    URLs that a rule judges train the models: Spark counts the contexts of a sample of about ``sample`` of them, chosen
-    by hash; a quarter as many others calibrate the length-normalised log-likelihood difference. Every page's URL is
-    scored; where no rule fits, a chance of 0.5 or more means allow. The models hold at most
-    sample * URL length * (order + 1) counts, whatever the table's size.
+    All different URLs that a rule judges train the models: Spark counts every character after its contexts in four fifths
+    of them, chosen by hash, and the others calibrate the length-normalised log-likelihood difference. A URL counts once,
+    however many rows have it. Every page's URL is scored; where no rule fits, a chance of 0.5 or more means allow. What
+    reaches the driver and is broadcast is bounded by MOST_SLOTS whatever the table's size; from a sixteenth as many
+    distinct keys on, rare ones begin to share all their slots with others.
 
-    A URL that is null or has no :// has an empty host and path, fits no rule, and is scored as an empty text. Repeated
-    rows are judged alike. Where rules leave one class empty, all chances are 0.5. Other columns are ignored.
+    A URL that is null or has no :// has an empty host and path, fits no rule, and is scored as an empty text. Very long
+    URLs are scored whole. Repeated rows are judged alike. Where rules leave one class empty, all chances are 0.5, and so a
+    tie, which is allowed. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     url = F.col(url_col)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)", 1), F.lit(""))
     judged = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), rest.alias("_rest")).withColumns({"rule": rule, "verdict": verdict})
     judged = judged.withColumn("_text", F.concat("host", "_rest")).drop("_rest")
-    ruled = judged.filter(F.col("rule").isNotNull()).withColumn("_accepted", F.col("verdict") == "allow")
-    fraction = min(1.0, 1.25 * sample / max(1, ruled.count()))
-    chosen = ruled.filter(share("_text", fraction, 3)).withColumn("_fit", F.pmod(F.xxhash64(F.lit(5), "_text"), F.lit(5)) > 0).select("_text", "_accepted", "_fit")
-    padded = F.concat(F.lit(START * order), "_text", F.lit(END))
-    grams = (
-        chosen.filter("_fit")
-        .select("_accepted", padded.alias("_p"))
-        .select("_accepted", "_p", F.explode(F.sequence(F.lit(order + 1), F.length("_p"))).alias("_i"))
-        .select("_accepted", F.expr(f"substring(_p, _i - {order}, {order + 1})").alias("_w"))
-        .groupBy("_w").agg(F.count_if("_accepted").alias("_a"), F.count_if(~F.col("_accepted")).alias("_r"))
-    )
-    counts: dict[str, dict[str, tuple[int, int]]] = {}
-    seen = [0, 0]
-    for w, a, r in grams.toLocalIterator():
-        seen[0] += a
-        seen[1] += r
-        for n in range(order + 1):
-            nexts = counts.setdefault(w[order - n : order], {})
-            had = nexts.get(w[-1], (0, 0))
-            nexts[w[-1]] = (had[0] + a, had[1] + r)
-    model = judged.sparkSession.sparkContext.broadcast((counts, order)) if all(seen) else None
+    fits = F.pmod(F.xxhash64(F.lit(5), "_text"), F.lit(5)) > 0
+    ruled = cut(judged.filter(F.col("rule").isNotNull()).select("_text", (F.col("verdict") == "allow").alias("_accepted")).distinct()).withColumn("_fit", fits)
+    counts = count_slots(ruled.filter("_fit"), order)
+    model = pages.sparkSession.sparkContext.broadcast((*counts, order)) if counts else None
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         markov = Markov(*model.value) if model else None
         for b in batches:
-            x = [markov.difference(t) if markov else 0.0 for t in b["_text"].to_pylist()]
+            x = markov.differences(b["_text"].to_pylist()) if markov else [0.0] * b.num_rows
             yield pa.RecordBatch.from_arrays([*(c for c, f in zip(b.columns, b.schema) if f.name != "_text"), pa.array(x, pa.float64())], [*(f.name for f in b.schema if f.name != "_text"), "_x"])
 
-    held = chosen.filter(~F.col("_fit")).mapInArrow(scored, "_accepted boolean, _fit boolean, _x double").toPandas()
-    slope, base = calibrate(held["_x"].to_numpy(float), held["_accepted"].to_numpy(float)) if model and held["_accepted"].nunique() == 2 else (1.0 if model else 0.0, 0.0)
+    slope, base = 0.0, 0.0
+    if model:
+        near = F.round(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("_x"))) * STEPS).cast("int")
+        held = ruled.filter(~F.col("_fit")).drop("_fit").mapInArrow(scored, "_accepted boolean, _x double").groupBy(near.alias("_x"), "_accepted").count().toArrow()
+        x, y, n = held["_x"].to_numpy() / STEPS, held["_accepted"].to_numpy().astype(float), held["count"].to_numpy()
+        slope, base = calibrate(x, y, n) if len(set(y)) == 2 else (1.0, 0.0)
     id_type = judged.schema["page_id"].dataType.simpleString()
     out = judged.mapInArrow(scored, f"page_id {id_type}, host string, path string, rule string, verdict string, _x double")
     chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_x") * slope + base)))

@@ -230,6 +230,61 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def brute_urls(texts, order=4):
+    """Exact counts in dictionaries: text -> log-likelihood difference a character."""
+    seen, kinds, total = collections.Counter(), collections.Counter(), collections.Counter()
+    for t, ok in texts:
+        t = urls.START * order + t + urls.END
+        for i in range(order, len(t)):
+            for n in range(order + 1):
+                key = (ok, t[i - n : i], t[i])
+                kinds[key[:2]] += not seen[key]
+                seen[key] += 1
+                total[key[:2]] += 1
+
+    def chance(context, char, ok):
+        p = 1 / 256
+        for n in range(order + 1):
+            c = context[len(context) - n :]
+            if not total[ok, c]:
+                break
+            p = (seen[ok, c, char] + kinds[ok, c] * p) / (total[ok, c] + kinds[ok, c])
+        return p
+
+    def difference(t):
+        x = urls.START * order + t + urls.END
+        return sum(np.log(chance(x[i - order : i], x[i], True) / chance(x[i - order : i], x[i], False)) for i in range(order, len(x))) / (len(t) + 1)
+
+    return difference
+
+
+def test_url_scores_against_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
+    rows = [(i, f"http://{word()}.{rng.choice(['com', 'org', 'net/es', 'net/fr'])}/{word()}/é{word()}?q={i % 90}") for i in range(900)] + [(i, "https://hot.com/same") for i in range(900, 1500)]
+    pages = spark.createDataFrame([(i, u, "clash", 1) for i, u in rows], "page_id long, url string, _text string, host int")
+    got = {r.page_id: r for r in urls.filter_urls(pages).collect()}
+    text = {i: u.split("://", 1)[1] for i, u in rows}
+    ruled = sorted({(text[i], r.verdict == "allow") for i, r in got.items() if r.rule})
+    fit = {r[0] for r in spark.createDataFrame([(t,) for t, _ in ruled], "t string").filter("pmod(xxhash64(5, t), 5) > 0").collect()}
+    difference = brute_urls([(t, ok) for t, ok in ruled if t in fit])
+    assert len(got) == len(rows)
+    # the score is a logistic function of the difference; the sketch's few collisions leave small errors
+    x, y = (np.array(v) for v in zip(*[(difference(text[i]), np.log(r.score / (1 - r.score))) for i, r in got.items() if 1e-9 < r.score < 1 - 1e-9]))
+    slope, base = np.polyfit(x, y, 1)
+    assert slope > 0 and abs((y - base) / slope - x).max() < 0.15 and abs((y - base) / slope - x).mean() < 0.02
+    for r in got.values():
+        assert r.rule or r.verdict == ("allow" if r.score >= 0.5 else "block")
+
+
+def test_url_model_learns_all_urls(spark):
+    """One URL in a third of the rows is one URL, and both classes are learned from."""
+    rows = [(i, "http://hot.com/x") for i in range(3000)] + [(3000 + i, f"http://a{i}.net/es/{i}") for i in range(60)] + [(4000 + i, f"http://b{i}.com/{i}") for i in range(60)] + [(5000 + i, f"http://a{i}x.org/es/{i}") for i in range(9)] + [(6000, None), (6000, None)]
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[5000 + i].verdict == "block" for i in range(9)) and got[6000].host == ""
+    assert np.mean([got[4000 + i].score for i in range(60)]) > 0.9 and np.mean([got[3000 + i].score for i in range(60)]) < 0.1
+
+
 def test_secret_battery_and_base():
     rng = random.Random(5)
     p = [secrets.battery(*secrets.infer("".join(rng.choice("0123456789abcdef") for _ in range(40)))[1:]) for _ in range(400)]
