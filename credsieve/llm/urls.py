@@ -15,7 +15,7 @@ from .common import cut
 #: (verdict, host and path); the longest that fits wins.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 ORDER = 4
-#: Counts lie in hashed slots (a count-min sketch), 16 for each distinct key but at most so many: 96 MB in all, which bounds what is broadcast.
+#: Counts lie in hashed slots (a count-min sketch), 32 for each distinct key but at most so many: 96 MB in all, which bounds what is broadcast.
 LEAST_SLOTS, MOST_SLOTS = 1 << 10, 1 << 22
 #: A key has three slots, by these bits of its hash.
 SHIFTS = (0, 21, 42)
@@ -70,7 +70,7 @@ class Markov:
             seen, about = self.look(self.grams, keys), self.look(self.contexts, [k[:-1] for k in keys])
             total, kinds = about[:, :2], about[:, 2:]
             going &= total > 0
-            p = np.where(going, (seen + kinds * p) / np.maximum(total + kinds, 1), p)
+            p = np.where(going, (np.minimum(seen, total) + kinds * p) / np.maximum(total + kinds, 1), p)
         return np.log(p[:, 0] / p[:, 1])
 
     def differences(self, urls: list[str]) -> list[float]:
@@ -104,7 +104,7 @@ def count_slots(texts: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray] |
     before = cut(keys.groupBy(F.expr("left(_key, length(_key) - 1)").alias("_key")).agg(*[F.sum(c).alias(c) for c in ("_a", "_r")], F.count_if(F.col("_a") > 0).alias("_ka"), F.count_if(F.col("_r") > 0).alias("_kr")))
 
     def dense(df: DataFrame, n: int, columns: tuple[str, ...]) -> np.ndarray:
-        slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (16 * n - 1).bit_length()))
+        slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (32 * n - 1).bit_length()))
         own = F.array_distinct(F.array(*[F.shiftrightunsigned("_h", x).bitwiseAND(F.lit(slots - 1)) for x in SHIFTS]))
         spread = df.withColumn("_h", F.xxhash64("_key")).select(F.explode(own).alias("_slot"), *columns)
         out, got = np.zeros((slots, len(columns)), np.float32), spread.groupBy("_slot").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
