@@ -170,9 +170,9 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     """One row per row of docs: doc_id, lang_pred, score (the calibrated probability of that language).
 
     learn: which rows may be learnt from; only their text and label are used, and rows without a label are left out.
-    Every whole text is scored. A text that is null, empty or without any letter is ``und`` with score 0; so is every
-    text if there is nothing to learn from. Ties go to the first language by name. Repeated rows get equal results. Other
-    columns are ignored.
+    Every whole text is scored, however long. A text that is null, empty or without any letter is ``und`` with score 0; so is every
+    text if there is nothing to learn from. Ties go to the first language by name. Repeated rows get equal results. An
+    empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     model = fit(docs.filter(learn), id_col, text_col, label_col, sample=sample)
     names, weights, base = model or (["und"], np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, share, spans, text_bytes, words_of
+from .common import fresh, mix, share, spans, text_bytes, words_of
 
 #: A passage is so many bytes of a text, the last one less; every byte belongs to one.
 PASSAGE = 512
@@ -154,8 +154,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per row of docs: doc_id, score (chance of label 1), passages.
 
     labels: id and label (0 or 1) of the rows to learn from. Their texts come from learn_docs, or else docs. Only texts
-    and labels are used. Every whole text is scored. A null or empty text has one empty passage and is scored like any
-    other. Without labels all scores are 0.5. Repeated rows get equal scores. Other columns are ignored.
+    and labels are used. Every whole text is scored, a very long one like others. A null or empty text has one empty
+    passage and is scored like any other. Without labels all scores are 0.5. Repeated rows get equal scores. An empty table
+    gives an empty result. Other columns are ignored, whatever their names.
     """
     model = fit(docs if learn_docs is None else learn_docs, labels, id_col, text_col, label_col, sample=sample)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -174,7 +175,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that score below the threshold (see score_quality); all columns stay. Without labels all rows stay whose 0.5 is enough."""
+    """docs without the rows that score below the threshold (see score_quality); all columns stay, whatever their names.
+
+    A null or empty text is scored like any other; a very long one is scored whole. Equal texts have equal scores, so that
+    repeated rows stay or go together. Without labels every score is 0.5. An empty table gives an empty result.
+    """
     model = fit(docs, labels, id_col, text_col, label_col, sample=sample)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,4 +191,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str
                     score[i : i + len(first) - 1] = network.forward(x, first)[-1]
             yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(score >= threshold))
 
-    return docs.withColumn("_scored_text", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(kept, docs.schema)
+    return docs.withColumn(*fresh(docs, "scored_text"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(kept, docs.schema)
