@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-BUCKET_WORDS = 1 << 20
+#: A source is laid out in buckets of about so many words or rows, whichever makes more buckets; their places are summed in runs of FAN buckets.
+BUCKET_WORDS, BUCKET_ROWS, FAN = 1 << 16, 1 << 12, 1024
 BLOCK_WORDS = 256
 LEAST_BLOCKS = 1 << 16
 
@@ -95,25 +96,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     blocks (a random sample, as the order is random). Its shards take their quotas of these one after another, each block
     as often as it comes. ``whole`` counts how often the complete document is taken, words part_from..part_to come once
     more; taken = whole * size + part_to - part_from, at most ``most`` times the size. ``shard`` is that of the document's
-    first taken block, null if nothing is taken. The order is by hash and id, so that reruns agree.
+    first taken block, null if nothing is taken. The order is by hash of id and text, so that reruns agree.
 
     A block has BLOCK_WORDS words, fewer where that makes less than LEAST_BLOCKS blocks in all. Nulls: a null text has
-    no words; a null source is a source of its own, the last; a null id is a value like others. Repeated rows count each.
-    An empty table gives an empty result; documents without words are never taken.
+    no words; a null source is a source of its own, the last; a null id is a value like others. Texts of any length are
+    counted whole. Repeated rows count each. An empty table gives an empty result; documents without words are never
+    taken. Other columns are ignored, whatever their names.
     """
+    return _mixed(docs, id_col, text_col, source_col, weights, budget, most, seed, shards).drop("at")
+
+
+def _place(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], budget: float, most: float, seed: int, shards: int) -> DataFrame:
+    """mix's rows, with at, the hash that orders them."""
     slim = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col)).alias("_at"),
+            _place(id_col, text_col, seed).alias("_at"),
         )
     )
-    words = slim.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(1, words // BUCKET_WORDS)
+    words, n = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    buckets = max(1, words // BUCKET_WORDS, n // BUCKET_ROWS)
     block = max(1, min(BLOCK_WORDS, int(words * budget) // LEAST_BLOCKS))
     slim = slim.withColumn("_bucket", F.pmod(F.shiftright("_at", 3), F.lit(buckets)))
-    filled = slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
+    filled = cut(slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")).withColumn("_run_of", F.floor(F.col("_bucket") / FAN)))
     sources = source_targets(filled.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, budget, most)
     dealt = shard_quotas(sources, int(words * budget) // block, shards)
     # _ends: of a source's seats, how many there are up to the end of each shard
@@ -128,8 +139,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             "_first": F.when(F.col("_blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.col("_blocks"))).otherwise(0),
         }
     )
-    before = F.coalesce(F.sum("_words").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = filled.withColumn("_before", before).alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.source", "b._bucket", "b._before", *[f"p.{c}" for c in plan.columns if c != "source"])
+    earlier = lambda keys, order: F.coalesce(F.sum("_words").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = filled.groupBy("source", "_run_of").agg(F.sum("_words").alias("_words")).select(F.col("source").alias("_s"), F.col("_run_of").alias("_r"), earlier(["source"], "_run_of").alias("_far"))
+    near = filled.withColumn("_near", earlier(["source", "_run_of"], "_bucket"))
+    laid_out = near.join(runs, near["source"].eqNullSafe(runs["_s"]) & (near["_run_of"] == runs["_r"])).select("source", "_bucket", (F.col("_near") + F.col("_far")).alias("_before"))
+    placed = laid_out.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.source", "b._bucket", "b._before", *[f"p.{c}" for c in plan.columns if c != "source"])
     within = Window.partitionBy("source", "_bucket").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = slim.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = laid.alias("d").join(placed.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d._bucket") == F.col("q._bucket"))).select("d.*", *[f"q.{c}" for c in placed.columns if c not in ("source", "_bucket")])
@@ -153,19 +167,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.when((part > 0) & (part < F.col("size")), cut_from).otherwise(0).cast("long").alias("part_from"),
         F.when((part > 0) & (part < F.col("size")), cut_from + part).otherwise(0).cast("long").alias("part_to"),
         F.when((F.col("_passes") * F.col("size") + part) > 0, F.least(F.size(F.filter("_ends", lambda x: x <= seat)), F.lit(shards - 1))).cast("long").alias("shard"),
+        F.col("_at").alias("at"),
     )
 
 
-def remix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs as the mix takes them, all columns kept: each document so often as it is taken whole, and once more with only the words taken where a block ends inside it. n_chars, where there is one, follows the text."""
-    taken = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "whole", "part_from", "part_to")
-    # repeated ids count each by itself; their rows are alike in size or not, so the pair is kept together
-    first = taken.groupBy("_id", "_size").agg(F.max("whole").alias("_whole"), F.max("part_from").alias("_from"), F.max("part_to").alias("_to"))
-    joined = docs.withColumn("_n", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")).join(first, docs[id_col].eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + (F.col("_to") > 0).cast("long"))))
-    piece = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")), "")
-    partial = F.col("_copy") > F.col("_whole")
+def remix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = 17, shards: int = 8) -> DataFrame:
+    """docs as the mix takes them (see mix), all columns kept, whatever their names: each document so often as it is taken whole, and once more with only the words taken where a block ends inside it. n_chars, where there is one, follows the text.
+
+    Documents that aren't taken, and so those whose text is null, empty or without words, go. Repeated rows (equal id and
+    text) come each so often as the one that is taken most. An empty table gives an empty result.
+    """
+    taken = _mixed(docs, id_col, text_col, source_col, weights, budget, most, seed, shards).filter("taken > 0")
+    own, at, whole, start, end, copy = fresh(docs, "place", "at", "whole", "part_from", "part_to", "copy")
+    first = taken.groupBy(F.col("at").alias(at)).agg(F.max("whole").alias(whole), F.max(F.struct("part_to", "part_from")).alias(start)).select(at, whole, F.col(f"{start}.part_to").alias(end), F.col(f"{start}.part_from").alias(start))
+    joined = docs.withColumn(own, _place(id_col, text_col, seed)).join(first, F.col(own) == F.col(at))
+    copies = joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(whole) + (F.col(end) > 0).cast("long"))))
+    piece = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), (F.col(start) + 1).cast("int"), (F.col(end) - F.col(start)).cast("int")), "")
+    partial = F.col(copy) > F.col(whole)
     out = copies.withColumn(text_col, F.when(partial, piece).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(partial, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.drop(own, at, whole, start, end, copy)
