@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, spans, text_bytes, words_of
+from .common import cut, fresh, mix, spans, text_bytes, words_of
 
 WORDS = 5
 #: Embedded tokens (minhash values) of a set, of which the paths sample; probability that a pair at the threshold shares a path of the greatest depth, summed over the runs, is to reach RECALL.
@@ -222,12 +222,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Within each component of candidates the sets themselves are then compared exactly, all with all, in blocks.
 
     A text that is null, empty or without words has no shingles, no links, and a class of its own. Texts of fewer words
-    than a shingle are one shingle. Repeated rows are linked with each other. A null id counts as a row; its class has the
-    smallest id that is not null, or null. An empty table gives an empty result. Other columns are ignored.
+    than a shingle are one shingle; very long ones are read whole, a text at a time. Repeated rows are linked with each
+    other. A null id counts as a row; its class has the smallest id that is not null, or null. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
     """
+    options = {"words": words, "threshold": threshold, "recall": recall, "limit": limit, "depth": depth}
+    return classes(docs, id_col, text_col, **options).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, *, words: int, threshold: tuple[int, int], recall: float, limit: int, depth: int) -> DataFrame:
+    """jaccard_join's rows, with key (see text_key) and kept, which holds for the rows of the class's smallest id (null last) and key, and for all rows without shingles."""
     ratio = threshold[0] / threshold[1]
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), text_key(text_col).alias("key"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,17 +249,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     for k, x in zip(full, embed([sets[k] for k in full])):
                         sig[k] = x
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].slice(i, len(sets)), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "sid", "n", "sig"]
+                    [b["doc_id"].slice(i, len(sets)), b["key"].slice(i, len(sets)), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "key", "sid", "n", "sig"]
                 )
 
-    slim = cut(texts.mapInArrow(described, f"doc_id {kind}, sid long, n int, sig array<int>"))
-    sets = cut(slim.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    slim = cut(texts.mapInArrow(described, f"doc_id {kind}, key long, sid long, n int, sig array<int>"))
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    sets = cut(slim.filter("n > 0").groupBy("sid").agg(F.min(least).alias("first"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     paths = root_paths(runs_needed(ratio, depth, recall), ratio)
     nodes = sets.select("sid", F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(p), F.get("sig", F.lit(p))) for r, p in paths])).alias("node"))
     edges = None
     for level in range(1, depth + 1):
-        counts = nodes.groupBy("node").agg(F.count("*").alias("_n"), F.min("sid").alias("_low")).filter("_n > 1")
+        # both sides of the join are plain shuffles, so that Spark can deal a common node's sets to many tasks
+        counts = cut(nodes.groupBy("node").agg(F.count("*").alias("_n"), F.min("sid").alias("_low")).filter("_n > 1"))
         met = cut(nodes.join(counts, "node").select("node", "sid", "_n", "_low"))
         small = met.filter(F.col("_n") <= limit).select("node", "sid").join(sets.select("sid", "sig"), "sid").select("node", "sid", "sig")
         found = small.repartition("node").sortWithinPartitions("node").mapInArrow(_bucket_edges, "a long, b long")
@@ -287,17 +300,35 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not sizes.filter("_blocks > 1").isEmpty():  # links between blocks join their components
         joined = components(linked.select(F.col("sid").alias("a"), F.col("root").alias("b")))
         degree = degree.drop("root").join(joined, F.col("sid") == F.col("v"), "left").select("sid", "_links", F.coalesce("root", "sid").alias("root"))
-    own = members.select("sid", "first_id").join(degree, "sid").select("sid", "first_id", "_links", "root")
-    classes = own.groupBy("root").agg(F.min("first_id").alias("_class"))
-    known = own.join(classes, "root").select("sid", "_class", "_links")
-    labels = sets.select("sid", "first_id", "copies").join(known, "sid", "left").select("sid", F.coalesce("_class", "first_id").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return slim.select("doc_id", "sid", F.col("n").cast("long").alias("n_shingles")).join(labels, "sid", "left").select("doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each class, that with the smallest id; all columns stay. Of repeated rows with that id one stays."""
-    joined = jaccard_join(docs, id_col, text_col, **options)
-    gone = joined.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
-    twins = joined.filter("doc_id <=> class_id AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    return left.dropDuplicates([id_col]) if not twins.isEmpty() else left
+    own = sets.select("sid", "first").join(degree, "sid").select("sid", "first", "_links", "root")
+    best = cut(own.groupBy("root").agg(F.min("first").alias("_best")))
+    known = own.join(best, "root").select("sid", "_best", "_links")
+    labels = cut(
+        sets.select("sid", "first", "copies")
+        .join(known, "sid", "left")
+        .select("sid", F.coalesce("_best", "first").alias("_best"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    )
+    about = lambda kept, class_id, links: (F.col("doc_id"), "key", class_id.alias("class_id"), links.cast("long").alias("n_links"), F.col("n").cast("long").alias("n_shingles"), kept.alias("kept"))
+    best_id = F.col("_best.doc_id")
+    linked_rows = slim.filter("n > 0").select("doc_id", "key", "sid", "n").join(labels, "sid")
+    return linked_rows.select(*about(F.col("doc_id").eqNullSafe(best_id) & (F.col("key") == F.col("_best.key")), best_id, F.col("n_links"))).union(
+        slim.filter("n = 0").select(*about(F.lit(True), F.col("doc_id"), F.lit(0)))
+    )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, threshold: tuple[int, int] = (4, 5), recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+    """docs with one document of each class (see jaccard_join), that with the smallest id; all columns stay, whatever their names.
+
+    Of rows with that id the one with the least hash of the text stays, and of repeated rows (equal id and text) one; so
+    does one row of a class without any id. Texts that are null, empty or without words all stay. An empty table gives an
+    empty result.
+    """
+    rows = cut(classes(docs, id_col, text_col, words=words, threshold=threshold, recall=recall, limit=limit, depth=depth))
+    own, i, k = fresh(docs, "key_of", "gone_id", "gone_key")
+    marked = docs.withColumn(own, text_key(text_col))
+    among = lambda left, pairs, how: left.join(pairs.select(F.col("doc_id").alias(i), F.col("key").alias(k)), F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(k)), how)
+    left = among(marked, rows.filter(~F.col("kept")).select("doc_id", "key").distinct(), "left_anti")
+    twins = cut(rows.filter("kept AND n_shingles > 0").groupBy("doc_id", "key").count().filter("count > 1"))
+    if not twins.isEmpty():
+        left = among(left, twins, "left_anti").union(among(left, twins, "left_semi").dropDuplicates([id_col, own]))
+    return left.drop(own)
