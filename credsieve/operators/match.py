@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,48 +15,111 @@ from ..functions import paths as P
 from ..functions import text as X
 
 ENTROPY, TRACE_ENTROPY, MIN_CONFIDENCE = 3.5, 3.0, 0.6
-#: Rules are broadcast: the catalogue is checked to have at most so many.
+#: Rules are sent to every task: the catalogue is checked to have at most so many.
 MOST_RULES = 20_000
+ABOUT = {"type_id": T.StringType(), "display_name": T.StringType(), "severity": T.StringType(), "confidence": T.DoubleType(), "is_generic": T.BooleanType(), "is_private_key": T.BooleanType(), "is_conn_string": T.BooleanType()}
+
+
+class Catalogue:
+    """Rules as one task uses them: a search for all anchors at once, and patterns that are compiled when first met."""
+
+    def __init__(self, rules: list[dict]):
+        import ahocorasick
+
+        self.rules = rules
+        self.patterns: dict[int, re.Pattern] = {}
+        self.always = [k for k, r in enumerate(rules) if "" in r["anchors"]]
+        self.anchors = ahocorasick.Automaton()
+        holds: dict[str, list[int]] = {}
+        for k, r in enumerate(rules):
+            for a in r["anchors"]:
+                if a:
+                    holds.setdefault(a, []).append(k)
+        for a, ks in holds.items():
+            self.anchors.add_word(a, ks)
+        if holds:
+            self.anchors.make_automaton()
+
+    def met(self, line: str) -> list[int]:
+        """Numbers of the rules whose anchor the line holds, and a quote where they need one."""
+        found = set(self.always)
+        if len(self.anchors):
+            for _, ks in self.anchors.iter(line.lower()):
+                found.update(ks)
+        if not found:
+            return []
+        quote = "'" in line or '"' in line
+        return sorted(k for k in found if quote or not self.rules[k]["needs_quote"])
+
+    def matches(self, line: str) -> Iterator[tuple[int, str, int, int]]:
+        """(number of the rule, value, start, end), offsets in bytes, by rule and position. The value is group 1 where it took part, else all."""
+        at: list[int] | None = None
+        for k in self.met(line):
+            p = self.patterns.get(k) or self.patterns.setdefault(k, re.compile(self.rules[k]["regex"]))
+            for m in p.finditer(line):
+                g = 1 if p.groups and m[1] is not None else 0
+                if line.isascii():
+                    yield k, m[g], m.start(g), m.end(g)
+                else:
+                    at = at or [0, *accumulate(1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4 for c in line)]
+                    yield k, m[g], at[m.start(g)], at[m.end(g)]
+
+    def kept(self, line: str) -> list[tuple[int, str, int, int]]:
+        """The matches that no earlier one contains, without generic ones that share their value with a specific one."""
+        out: list[tuple[int, str, int, int]] = []
+        for m in self.matches(line):
+            if not any(s <= m[2] and m[3] <= e for _, _, s, e in out):
+                out.append(m)
+        specific = [v for k, v, _, _ in out if not self.rules[k]["is_generic"]]
+        return [m for m in out if not self.rules[m[0]]["is_generic"] or not any(v in m[1] or m[1] in v for v in specific)]
+
+
+def _scan(lines: DataFrame, rules: DataFrame, line_col: str, kept: bool) -> DataFrame:
+    rows = [r.asDict() for r in rules.orderBy("rule_ord").limit(MOST_RULES + 1).collect()]
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    own = [T.StructField("rule_ord", T.IntegerType()), *(T.StructField(n, t) for n, t in ABOUT.items())]
+    found = [T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
+    schema = T.StructType([*lines.schema.fields, *own, *found])
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        catalogue = Catalogue(rows)
+        about = {"rule_ord": pa.array([r["rule_ord"] for r in rows], pa.int32())} | {n: pa.array([r[n] for r in rows]) for n in ABOUT}
+        for b in batches:
+            at, hits = [], []
+            for i, line in enumerate(b[line_col].to_pylist()):
+                if line:
+                    new = catalogue.kept(line) if kept else list(catalogue.matches(line))
+                    at += [i] * len(new)
+                    hits += new
+            if hits:
+                k, value, start, end = zip(*hits)
+                left = b.take(pa.array(at, pa.int64()))
+                of = pa.array(k, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*left.columns, *(c.take(of) for c in about.values()), pa.array(value, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+                    [*left.schema.names, *about, "value", "start", "end"],
+                )
+
+    return lines.mapInArrow(matched, schema)
 
 
 def find_matches(lines: DataFrame, rules: DataFrame, line_col: str = "line") -> DataFrame:
     """lines' columns and rule_ord, type_id, display_name, severity, confidence, is_generic, is_private_key, is_conn_string, value, start, end for every match of every rule; offsets in bytes.
 
-    A line meets a rule only if it holds one of the rule's anchors, and a quote where the rule needs one. What survives is
-    matched in Arrow batches with each rule's pattern compiled once. The value is group 1 where it took part, else all.
+    One pass in Arrow batches: all anchors are looked for at once, and only patterns of rules whose anchor is there, with a
+    quote where they need one, are tried. A null line has no matches.
     """
-    rows = rules.orderBy("rule_ord").collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"{len(rows)} rules; the broadcast is bounded at {MOST_RULES}")
-    compiled = {r["rule_ord"]: r["regex"] for r in rows}
-    low = lines.withColumns({"_low": F.lower(line_col), "_quote": F.col(line_col).rlike("['\"]")})
-    meets = (~F.col("needs_quote") | F.col("_quote")) & F.exists("anchors", lambda a: F.contains(F.col("_low"), a))
-    carried = [f.name for f in lines.schema]
-    about = ["type_id", "display_name", "severity", "confidence", "is_generic", "is_private_key", "is_conn_string"]
-    pairs = low.join(F.broadcast(rules), meets).select(*carried, "rule_ord", *about)
-    schema = T.StructType([*pairs.schema.fields, T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    return _scan(lines, rules, line_col, False)
 
-    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns: dict[int, re.Pattern] = {}
-        for b in batches:
-            at, value, start, end = [], [], [], []
-            for i, (line, k) in enumerate(zip(b[line_col].to_pylist(), b["rule_ord"].to_pylist())):
-                p = patterns.get(k) or patterns.setdefault(k, re.compile(compiled[k]))
-                for m in p.finditer(line):
-                    g = 1 if p.groups and m[1] is not None else 0
-                    s = len(line[: m.start(g)].encode())
-                    at.append(i)
-                    value.append(m[g])
-                    start.append(s)
-                    end.append(s + len(m[g].encode()))
-            kept = pa.RecordBatch.from_arrays(b.columns, b.schema.names).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(value, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [*b.schema.names, "value", "start", "end"])
-
-    return pairs.mapInArrow(matched, schema)
+
+def scan_lines(lines: DataFrame, rules: DataFrame, line_col: str = "line") -> DataFrame:
+    """find_matches, resolve_overlaps and suppress_generic in the same pass: a line's matches are in one place, so that nothing is shuffled."""
+    return _scan(lines, rules, line_col, True)
 
 
 def resolve_overlaps(matches: DataFrame, *keys: str) -> DataFrame:
-    """Of a line's matches, those that no earlier one (by rule, then position) contains. keys name the line. A line's matches are few, as lines are at most 5,000 bytes."""
+    """Of a line's matches, those that no earlier one (by rule, then position) contains. keys name the line. A line's matches are few, as lines are at most 5,000 bytes. For matches of any origin; scan_lines does the same while it scans."""
     own = [c for c in matches.columns if c not in keys]
     order = ["rule_ord", "start", "end", *[c for c in own if c not in ("rule_ord", "start", "end")]]
     lines = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_m"))
@@ -81,11 +145,15 @@ def score(matches: DataFrame, threshold: float = ENTROPY, comment: Column | None
     return matches.withColumn("_entropy", entropy).withColumn("confidence", F.col("confidence") * factor).withColumnRenamed("_entropy", "entropy")
 
 
+def scan_scannable(lines: DataFrame, rules: DataFrame, threshold: float = ENTROPY) -> DataFrame:
+    """Scored matches of lines (line and any other columns) that are short enough and no placeholders. Being a placeholder is costly to tell, so that only lines with matches are asked."""
+    short = lines.filter(F.octet_length("line") <= X.MAX_LINE_BYTES)
+    return score(scan_lines(short, rules).filter(~X.is_placeholder(F.col("line"))), threshold, X.is_comment(F.col("line")))
+
+
 def findings(lines: DataFrame, rules: DataFrame, threshold: float = ENTROPY) -> DataFrame:
-    """Flat findings of scannable lines (path, line_number, line, line_before, line_after): one row per match that stays."""
-    keys = ("path", "line_number", "line", "line_before", "line_after")
-    matches = suppress_generic(resolve_overlaps(find_matches(lines.filter(X.scannable(F.col("line"))), rules), *keys), *keys)
-    scored = score(matches, threshold, X.is_comment(F.col("line")))
+    """Flat findings of lines (path, line_number, line, line_before, line_after): one row per match that stays."""
+    scored = scan_scannable(lines, rules, threshold)
     slash = F.concat(F.lit("/"), F.regexp_replace("path", "^/", ""))
     return scored.withColumns(
         {"is_test_file": P.is_test_file(slash), "is_config_file": P.is_config_file(F.col("path")), "is_documentation": P.is_documentation(F.col("path")), "file_extension": P.file_ext(F.col("path")), "redacted_value": X.redact(F.col("value")), "fingerprint": X.fingerprint(F.col("display_name"), F.col("path"), F.col("value"))}
@@ -106,5 +174,4 @@ def nested(flat: DataFrame) -> DataFrame:
 def scan_added_lines(history: DataFrame, rules: DataFrame, threshold: float = ENTROPY) -> DataFrame:
     """Findings of added lines (see sources.history): no placeholder, length or comment handling; columns span the line."""
     keys = ("file_path", "line_number", "line", "commit_hash", "commit_author", "commit_date")
-    matches = suppress_generic(resolve_overlaps(find_matches(history.select(*keys), rules), *keys), *keys)
-    return score(matches, threshold).withColumns({"start": F.lit(0), "end": F.octet_length("line") + 1})
+    return score(scan_lines(history.select(*keys), rules), threshold).withColumns({"start": F.lit(0), "end": F.octet_length("line") + 1})

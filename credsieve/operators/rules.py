@@ -285,8 +285,36 @@ def builtin_rules(spark: SparkSession, keywords: Iterable[str] = ()) -> DataFram
     return rules_table(spark, builtin_rows(keywords))
 
 
+def literal_of(regex: str) -> str:
+    """The longest run of plain characters that every match holds, in lower case; empty where none is sure."""
+    body = re.sub(r"^\(\?[a-z]+\)", "", regex)
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(body):
+        c, plain = body[i], ""
+        if c == "\\":
+            c, i = body[i : i + 2], i + 1
+            plain = c[1] if not c[1].isalnum() else ""
+        elif c == "[":
+            i = body.index("]", i + 2 + (body[i + 1] == "^"))
+        elif c == "|" and not depth:
+            return ""
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c not in ".^$*+?{}|":
+            plain = c
+        elif c == "{":
+            i = body.index("}", i)
+        if plain and not depth and body[i + 1 : i + 2] not in ("?", "*", "{"):
+            run += plain.lower()
+        else:
+            runs.append(run)
+            run = ""
+        i += 1
+    return max([*runs, run], key=len)
+
+
 def custom_rows(custom: Iterable[dict]) -> tuple[list[tuple], list[tuple[str, str, str]]]:
-    """Rows for custom rules (name, regex, severity, confidence, optional anchors), and warnings for those whose regex is invalid. An unknown severity is LOW; confidence is kept within 0 and 1."""
+    """Rows for custom rules (name, regex, severity, confidence, optional anchors and display_name), and warnings for those whose regex is invalid. Anchors are lower-case strings one of which is in every match; without any, the pattern's longest literal is taken. An unknown severity is LOW; confidence is kept within 0 and 1."""
     rows, bad = [], []
     for c in custom:
         try:
@@ -295,5 +323,14 @@ def custom_rows(custom: Iterable[dict]) -> tuple[list[tuple], list[tuple[str, st
             bad.append(("rule", c["name"], str(e)))
             continue
         severity = str(c.get("severity", "")).upper()
-        rows.append((c["name"], c["name"], list(c.get("anchors", [""])), c["regex"], severity if severity in SEVERITIES.values() else "LOW", min(1.0, max(0.0, float(c.get("confidence", 0.8))))))
+        rows.append((c["name"], c.get("display_name") or c["name"], list(c.get("anchors") or [literal_of(c["regex"])]), c["regex"], severity if severity in SEVERITIES.values() else "LOW", min(1.0, max(0.0, float(c.get("confidence", 0.8))))))
     return rows, bad
+
+
+RULE_FILE = "name string, regex string, severity string, confidence double, anchors array<string>, display_name string"
+
+
+def read_rules(spark: SparkSession, path: str, builtin: bool = True) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+    """Rules of JSON lines (see RULE_FILE and custom_rows), after the built-in ones or alone, and warnings for invalid ones. This is how a catalogue of any other origin is brought along whole."""
+    rows, bad = custom_rows(r.asDict() | {"confidence": 0.8 if r["confidence"] is None else r["confidence"]} for r in spark.read.schema(RULE_FILE).json(path).filter("name IS NOT NULL AND regex IS NOT NULL").toLocalIterator())
+    return rules_table(spark, (builtin_rows() if builtin else []) + rows), bad

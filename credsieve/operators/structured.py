@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
-
-MAX_DEPTH = 16
+from ..storage import cut
 
 
 def structured_format(path: Column, content: Column) -> Column:
@@ -26,22 +25,32 @@ def structured_format(path: Column, content: Column) -> Column:
     )
 
 
-def json_leaves(files: DataFrame, text_col: str = "content", key_col: str = "path", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """key_col, json_path (a.b[0]), parent (last key), value of every string leaf; one level of all documents per step, so depth, not size, bounds the plan. Text that isn't JSON gives no rows."""
-    level = files.select(F.col(key_col), F.try_parse_json(text_col).alias("_v"), F.lit("").alias("json_path"), F.lit("").alias("parent")).filter(F.col("_v").isNotNull())
-    out = None
-    for _ in range(max_depth):
-        kind = F.schema_of_variant("_v")
-        leaf = level.filter(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID")).select(key_col, "json_path", "parent", F.try_variant_get("_v", "$", "string").alias("value"))
+def json_leaves(files: DataFrame, text_col: str = "content", key_col: str = "path", max_depth: int | None = None) -> DataFrame:
+    """key_col, json_path (a.b[0]), parent (last key), value of every string leaf.
+
+    One level of all documents per step, each written to the shared folder, until no document goes deeper; the steps are as
+    many as the deepest document has levels. What lies deeper than max_depth, if given, is one leaf, its JSON text. Text
+    that isn't JSON gives no rows.
+    """
+    level, depth, out = cut(files.select(F.col(key_col), F.try_parse_json(text_col).alias("_v"), F.lit("").alias("json_path"), F.lit("").alias("parent")).filter(F.col("_v").isNotNull())), 0, None
+    kind = F.schema_of_variant("_v")
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    while True:
+        last = max_depth is not None and depth >= max_depth
+        value = F.when(nested, F.to_json("_v")).otherwise(F.try_variant_get("_v", "$", "string"))
+        leaf = level.filter((F.lit(last) | ~nested) & (kind != "VOID")).select(key_col, "json_path", "parent", value.alias("value"))
         out = leaf if out is None else out.union(leaf)
-        inner = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        level = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(
-            key_col,
-            F.col("value").alias("_v"),
-            F.when(F.col("key").isNull(), F.concat("json_path", F.lit("["), F.col("pos"), F.lit("]"))).when(F.col("json_path") == "", F.col("key")).otherwise(F.concat("json_path", F.lit("."), "key")).alias("json_path"),
-            F.coalesce("key", "parent").alias("parent"),
-        )
-    return out
+        inner = level.filter(nested)
+        if last or inner.isEmpty():
+            return out
+        level, depth = cut(
+            inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(
+                key_col,
+                F.col("value").alias("_v"),
+                F.when(F.col("key").isNull(), F.concat("json_path", F.lit("["), F.col("pos"), F.lit("]"))).when(F.col("json_path") == "", F.col("key")).otherwise(F.concat("json_path", F.lit("."), "key")).alias("json_path"),
+                F.coalesce("key", "parent").alias("parent"),
+            )
+        ), depth + 1
 
 
 def candidates(leaves: DataFrame) -> DataFrame:
@@ -79,11 +88,20 @@ def yaml_documents(files: DataFrame) -> DataFrame:
             import yaml
         except ImportError as e:
             raise RuntimeError("YAML decoding needs PyYAML on the executors") from e
+
+        class Loader(yaml.SafeLoader):
+            """Short forms such as !Ref or !Sub count as what they are applied to."""
+
+        def plain(loader, _, node):
+            build = {"scalar": loader.construct_scalar, "sequence": lambda n: loader.construct_sequence(n, True), "mapping": lambda n: loader.construct_mapping(n, True)}
+            return build[node.id](node)
+
+        Loader.add_multi_constructor("!", plain)
         for pdf in frames:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows += [(path, i, json.dumps(d, default=str)) for i, d in enumerate(yaml.safe_load_all(content))]
+                    rows += [(path, i, json.dumps(d, default=str)) for i, d in enumerate(yaml.load_all(content, Loader))]
                 except yaml.YAMLError:
                     continue
             yield pd.DataFrame(rows, columns=["path", "doc", "json"])
@@ -112,8 +130,10 @@ def compose_env_lines(lines: DataFrame) -> DataFrame:
 
 
 def cfn_values(files: DataFrame) -> DataFrame:
-    """String leaves of a JSON template's resources and its parameters' defaults."""
-    leaves = json_leaves(files)
+    """String leaves of a template's resources and its parameters' defaults. Templates are JSON, or else the first document of YAML."""
+    is_json = F.try_parse_json("content").isNotNull()
+    other = yaml_documents(files.filter(~is_json)).filter("doc = 0").select("path", F.col("json").alias("content"))
+    leaves = json_leaves(cut(files.filter(is_json).select("path", "content").union(other)))
     return leaves.filter(F.col("json_path").startswith("Resources.") | F.col("json_path").rlike(r"^Parameters\.[^.]+\.Default$"))
 
 

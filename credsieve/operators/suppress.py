@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,6 +61,23 @@ def baseline_create(found: DataFrame, reason: str | None = None) -> DataFrame:
     return found.select("fingerprint", F.col("display_name").alias("secret_type"), F.col("path").alias("file_path"), "line_number", "redacted_value", F.lit(reason).cast("string").alias("reason"))
 
 
+ENTRY = "fingerprint string, secret_type string, file_path string, line_number int, redacted_value string, reason string"
+
+
+def write_baseline(baseline: DataFrame, path: str) -> None:
+    """As JSON lines, one entry each; what was there is replaced."""
+    baseline.select(*[c.split()[0] for c in ENTRY.split(", ")]).write.mode("overwrite").json(path)
+
+
+def read_baseline(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """Entries of JSON lines, or of one JSON document that holds them in ``entries``. Entries without a fingerprint are left out."""
+    if document:
+        entries = spark.read.schema(f"version string, generated_at string, count long, entries array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path).select(F.inline("entries"))
+    else:
+        entries = spark.read.schema(ENTRY).json(path)
+    return entries.filter("fingerprint IS NOT NULL")
+
+
 def baseline_apply(found: DataFrame, baseline: DataFrame) -> DataFrame:
     return found.join(baseline, "fingerprint", "left_anti")
 

@@ -18,7 +18,7 @@ from ..sources import files as L
 from ..sources import history as H
 from ..storage import new_path
 from ..streaming import scan as W
-from .queries import CUSTOM, FEW, FILES, LINES, NAME, TEST, few_rules, files, found, lines, on_files, on_found, query
+from .queries import CUSTOM, FILES, LINES, NAME, TEST, files, found, lines, matches_sql, on_files, on_found, query, rules
 
 _MD5 = "md5(concat('', doc_id))"
 _DAY = "lpad(concat('', 1 + doc_id % 28), 2, '0')"
@@ -58,12 +58,12 @@ def s08_added_lines(spark, d):
     return H.added_lines(history(spark, d)).select("file_path", "line_number", "line", "commit_hash", "commit_author")
 
 
-_EACH = " UNION ALL ".join(f"SELECT path, line_number, commit_hash, line, '{t}' AS type_id, unnest(regexp_extract_all(line, '{rx}', {g})) AS value FROM lines" for t, rx, g, _, _ in FEW)
+_HISTORY = ADDED + ", " + matches_sql("lines")
 
 
-@query(f"{ADDED}, m AS ({_EACH}) SELECT path AS file_path, line_number, commit_hash, type_id, value, strlen(line) + 1 AS \"end\" FROM m")
+@query(f"{_HISTORY} SELECT path AS file_path, line_number, commit_hash, type_id, value, strlen(line) + 1 AS \"end\" FROM m")
 def d14_scan_added_lines(spark, d):
-    return M.scan_added_lines(H.added_lines(history(spark, d)), few_rules(spark)).select("file_path", "line_number", "commit_hash", "type_id", "value", F.col("end").cast("long").alias("end"))
+    return M.scan_added_lines(H.added_lines(history(spark, d)), rules(spark)).select("file_path", "line_number", "commit_hash", "type_id", "value", F.col("end").cast("long").alias("end"))
 
 
 _TREE = """WITH RECURSIVE e AS (SELECT doc_id AS child, doc_id // 2 AS parent FROM documents WHERE doc_id > 0),
@@ -101,9 +101,9 @@ def j06_not_in_worktree(spark, d):
     return B.not_in_worktree(f, f.filter("is_test_file")).select("path", "value", "type_id")
 
 
-@query(f"{ADDED}, m AS ({_EACH}), h AS (SELECT 'history' AS origin, type_id FROM m), f AS (SELECT 'tree' AS origin, type_id FROM ({on_found('SELECT type_id FROM found')})) SELECT origin, type_id, count(*) AS n FROM (FROM h UNION ALL FROM f) GROUP BY ALL")
+@query(f"{_HISTORY}, h AS (SELECT 'history' AS origin, type_id FROM m), f AS (SELECT 'tree' AS origin, type_id FROM ({on_found('SELECT type_id FROM found')})) SELECT origin, type_id, count(*) AS n FROM (FROM h UNION ALL FROM f) GROUP BY ALL")
 def u01_union_of_origins(spark, d):
-    h = M.scan_added_lines(H.added_lines(history(spark, d)), few_rules(spark)).select(F.lit("history").alias("origin"), "type_id")
+    h = M.scan_added_lines(H.added_lines(history(spark, d)), rules(spark)).select(F.lit("history").alias("origin"), "type_id")
     return found(spark, d).select(F.lit("tree").alias("origin"), "type_id").unionByName(h).groupBy("origin", "type_id").agg(F.count("*").alias("n"))
 
 
@@ -228,15 +228,12 @@ def o01_ordered(spark, d):
     return R.ordered(found(spark, d)).select("path", "line_number", "type_id")
 
 
-_DISPLAY = "CASE type_id WHEN 'AwsAccessKey' THEN 'AWS Access Key' WHEN 'RsaPrivateKey' THEN 'RSA Private Key' WHEN 'PostgresConnectionString' THEN 'Postgres Connection String' WHEN 'GenericSecret' THEN 'Generic Secret' WHEN 'GenericApiKey' THEN 'Generic API Key' ELSE type_id END"
-
-
-@query(on_found(f"SELECT path, line_number, sha256(concat_ws(':', {_DISPLAY}, path, value)) AS fingerprint FROM found"))
+@query(on_found(f"SELECT path, line_number, sha256(concat_ws(':', display_name, path, value)) AS fingerprint FROM found"))
 def b00_fingerprint(spark, d):
     return found(spark, d).select("path", "line_number", "fingerprint")
 
 
-@query(on_found(f"SELECT sha256(concat_ws(':', {_DISPLAY}, path, value)) AS fingerprint, {_DISPLAY} AS secret_type, path AS file_path, line_number, 'known' AS reason FROM found"))
+@query(on_found(f"SELECT sha256(concat_ws(':', display_name, path, value)) AS fingerprint, display_name AS secret_type, path AS file_path, line_number, 'known' AS reason FROM found"))
 def b01_baseline_create(spark, d):
     return B.baseline_create(found(spark, d), "known").drop("redacted_value")
 
@@ -262,7 +259,7 @@ def j03_ignored_fingerprints(spark, d):
 @query(on_found("SELECT t.value, l.path, l.line_number FROM lines l, (SELECT DISTINCT value FROM found WHERE path = (SELECT path FROM files WHERE doc_id = 4)) t WHERE contains(l.line, t.value)"))
 def t03_trace_file(spark, d):
     path = files(spark, d).filter("doc_id = 4").first()["path"]
-    return R.trace_file(found(spark, d), lines(spark, d), path)
+    return R.trace_file(lines(spark, d), rules(spark), path)
 
 
 @query(on_files(f"path, concat('AKIA', upper(substring({_MD5}, 1, 16))) AS access_key, concat({_MD5}, substring({_MD5}, 1, 8)) AS secret_key"))
@@ -311,10 +308,12 @@ def f08_cfn_values(spark, d):
     return S.cfn_values(derived(spark, d, TEMPLATE)).select("path", "json_path", "value")
 
 
-@query(on_files("path, len(string_split(substring(content, 1, instr(content, concat(chr(10), 'nothing here'))), chr(10))) AS line_number, CASE WHEN length(content) > 120 THEN concat(substring(content, 1, 117), '...') ELSE content END AS context") + " WHERE doc_id % 8 = 7")
+@query(f"""WITH files AS ({FILES}), v AS (SELECT path, content, string_split(content, chr(10))[-1] AS v FROM files)
+SELECT path, len(string_split(substring(content, 1, instr(content, v) - 1), chr(10))) AS line_number, CASE WHEN length(content) > 120 THEN concat(substring(content, 1, 117), '...') ELSE content END AS context FROM v""")
 def f09_structured_context(spark, d):
-    f = files(spark, d).filter("doc_id % 8 = 7")
-    line, _ = S.structured_context(F.col("content"), F.lit("nothing here"))
+    """Where each file's last line comes first, and the file cut to context length."""
+    f = files(spark, d)
+    line, _ = S.structured_context(F.col("content"), F.element_at(F.split("content", "\n"), -1))
     _, cut = S.structured_context(F.col("content"), F.col("content"))
     return f.select("path", line.cast("long").alias("line_number"), cut.alias("context"))
 
@@ -351,12 +350,12 @@ def _drained(df, mode: str = "append"):
 
 @query(on_found("SELECT path, type_id, value FROM found"))
 def x01_scan_stream(spark, d):
-    return _drained(W.scan_stream(_line_stream(spark, d), few_rules(spark)).select("path", "type_id", "value"))
+    return _drained(W.scan_stream(_line_stream(spark, d), rules(spark)).select("path", "type_id", "value"))
 
 
 @query(on_found("SELECT DISTINCT path, type_id, value FROM found"))
 def x02_first_seen(spark, d):
-    hits = W.scan_stream(_line_stream(spark, d), few_rules(spark))
+    hits = W.scan_stream(_line_stream(spark, d), rules(spark))
     return _drained(W.first_seen(hits, "3650 days").select("path", "type_id", "value"))
 
 
@@ -364,5 +363,5 @@ def x02_first_seen(spark, d):
 def x03_leak_rate(spark, d):
     """Hourly counts; the same operator runs on streams and, as here, on tables."""
     f = files(spark, d).withColumn("ts", F.expr(_CLOCK)).select("ts", "path", F.explode(F.split("content", "\n")).alias("line"))
-    rate = W.leak_rate(W.scan_stream(f, few_rules(spark)))
+    rate = W.leak_rate(W.scan_stream(f, rules(spark)))
     return rate.select((F.unix_timestamp("start") / 3600).cast("long").alias("hour"), "severity", "n")

@@ -6,6 +6,8 @@ values from md5(id), so that both engines see the same secrets.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,22 +48,8 @@ def rules(spark: SparkSession) -> DataFrame:
     return U.rules_table(spark, U.builtin_rows() + U.custom_rows(CUSTOM)[0])
 
 
-def few_rules(spark: SparkSession) -> DataFrame:
-    """The rules that the planted lines meet, in the order of FEW."""
-    wanted = [t for t, _, _, _, _ in FEW]
-    rows = {r[0]: r for r in U.builtin_rows() + U.custom_rows(CUSTOM)[0]}
-    return U.rules_table(spark, [rows[t] for t in wanted])
-
-
-# type, pattern, group, severity, confidence: what few_rules() holds, for SQL
-FEW = (
-    ("AwsAccessKey", r"(?i)(?:A3T[A-Z0-9]|AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA)[A-Z0-9]{16}", 0, "CRITICAL", 0.95),
-    ("RsaPrivateKey", "-----BEGIN RSA PRIVATE KEY-----", 0, "CRITICAL", 0.99),
-    ("PostgresConnectionString", "postgres(?:ql)?://[^:]+:[^@]+@[^/]+", 0, "CRITICAL", 0.9),
-    ("GenericSecret", r"""(?i)secret[''"]?\s*[:=]\s*[''"]([0-9a-zA-Z_-]{32,})[''"]""", 1, "MEDIUM", 0.65),
-    ("GenericApiKey", r"""(?i)api[_-]?key[''"]?\s*[:=]\s*[''"]([0-9a-zA-Z_-]{32,})[''"]""", 1, "MEDIUM", 0.7),
-    ("HexToken", r'token\s*=\s*"([0-9a-f]{40})"', 1, "HIGH", 0.9),
-)
+#: The whole catalogue as the scans use it: type, name, anchors, pattern, severity, confidence.
+CATALOGUE = U.builtin_rows() + U.custom_rows(CUSTOM)[0]
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +57,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.findings(lines(spark, sf_dir), few_rules(spark))
+    return M.findings(lines(spark, sf_dir), rules(spark))
 
 
 # ---- SQL parts ----
@@ -87,19 +75,31 @@ ENTROPY = "coalesce((SELECT -sum(p * log2(p)) FROM (SELECT count(*) / sum(count(
 PRINT = "sha256(concat_ws(':', {t}, path, value))"
 
 
-def _matches() -> str:
-    """Matches of the planted rules on scannable lines; no two of them meet on one line of the corpus in a way that overlaps."""
-    each = [
-        f"SELECT path, line_number, line, {i} AS rule_ord, '{t}' AS type_id, unnest(regexp_extract_all(line, '{rx}', {g})) AS value, '{s}' AS sev, {c} AS base FROM lines WHERE octet_length(encode(line)) <= 5000 AND NOT contains(line, 'your_api_key_here')"
-        for i, (t, rx, g, s, c) in enumerate(FEW)
-    ]
-    return "m AS (" + " UNION ALL ".join(each) + ")"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-FOUND = f"""WITH files AS ({FILES}), {LINES}, {_matches()},
-e AS (SELECT *, CASE WHEN type_id = 'PostgresConnectionString' THEN regexp_extract(value, '://([^@]*)', 1) ELSE value END AS secret, {DOC} AS is_documentation, {TEST} AS is_test_file FROM m),
+def matches_sql(lines: str, where: str = "true") -> str:
+    """CTEs for SQL: met (matches of all rules, group 1 if there is one), free (not within an earlier rule's match of the line), m (generic matches only where no specific one shares the value)."""
+    each = [
+        f"SELECT *, {i} AS rule_ord, {_quoted(t)} AS type_id, {_quoted(name)} AS display_name, unnest(regexp_extract_all(line, {_quoted(rx)}, {min(1, re.compile(rx).groups)})) AS value, {_quoted(severity)} AS sev, {confidence} AS base FROM {lines} WHERE {where}"
+        for i, (t, name, _, rx, severity, confidence) in enumerate(CATALOGUE)
+    ]
+    generic = "type_id IN (" + ", ".join(map(_quoted, U.GENERIC)) + ")"
+    return (
+        "raw AS (" + " UNION ALL ".join(each) + f"), nth AS (SELECT *, row_number() OVER (PARTITION BY path, line_number, rule_ord, value) AS k, string_split(line, value) AS parts FROM raw), "
+        f"met AS (SELECT * EXCLUDE (k, parts), CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(value) + 1 AS BIGINT) AS a, a + length(value) AS z, {generic} AS generic FROM nth), "
+        "free AS (SELECT * FROM met p WHERE NOT EXISTS (SELECT 1 FROM met q WHERE q.path = p.path AND q.line_number = p.line_number AND q.rule_ord < p.rule_ord AND q.a <= p.a AND p.z <= q.z)), "
+        "m AS (SELECT * FROM free p WHERE NOT (generic AND EXISTS (SELECT 1 FROM free q WHERE q.path = p.path AND q.line_number = p.line_number AND NOT q.generic AND (contains(q.value, p.value) OR contains(p.value, q.value)))))"
+    )
+
+
+SCANNABLE = "octet_length(encode(line)) <= 5000 AND NOT contains(line, 'your_api_key_here')"
+IS_CONN = "(ends_with(type_id, 'ConnectionString') OR type_id = 'DatabaseUrl')"
+FOUND = f"""WITH files AS ({FILES}), {LINES}, {matches_sql('lines', SCANNABLE)},
+e AS (SELECT *, CASE WHEN NOT {IS_CONN} OR NOT contains(value, '://') THEN value ELSE regexp_extract(value, '://([^@]*)', 1) END AS secret, {DOC} AS is_documentation, {TEST} AS is_test_file FROM m),
 chars AS (SELECT secret, -sum(p * log2(p)) AS entropy FROM (SELECT secret, c, count(*) / sum(count(*)) OVER (PARTITION BY secret) AS p FROM (SELECT secret, unnest(string_split(secret, '')) AS c FROM (SELECT DISTINCT secret FROM e)) GROUP BY secret, c) GROUP BY secret),
-found AS (SELECT e.*, entropy, base * CASE WHEN entropy < 3.5 AND type_id <> 'RsaPrivateKey' THEN 0.7 ELSE 1 END * CASE WHEN regexp_matches(line, '^\\s*(//|#|/\\*|\\*|<!--)') THEN 0.75 ELSE 1 END AS confidence,
+found AS (SELECT e.*, entropy, base * CASE WHEN entropy < 3.5 AND NOT ends_with(type_id, 'PrivateKey') THEN 0.7 ELSE 1 END * CASE WHEN regexp_matches(line, '^\\s*(//|#|/\\*|\\*|<!--)') THEN 0.75 ELSE 1 END AS confidence,
           CASE WHEN NOT is_documentation THEN sev WHEN sev = 'CRITICAL' THEN 'HIGH' WHEN sev = 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS severity
           FROM e JOIN chars USING (secret))"""
 FP = "CASE WHEN type_id = 'RsaPrivateKey' THEN false WHEN confidence < 0.7 THEN true ELSE (is_test_file OR is_documentation) AND confidence < 0.9 END"
@@ -223,15 +223,16 @@ def p19_relativize(spark, d):
 # ---- detection and scores ----
 
 
-@query(on_found("SELECT path, line_number, type_id, value, rule_ord FROM m"))
+@query(on_found("SELECT path, line_number, type_id, value, rule_ord FROM met"))
 def d03_find_matches(spark, d):
-    return M.find_matches(lines(spark, d).filter(X.scannable(F.col("line"))), few_rules(spark)).select("path", "line_number", "type_id", "value", "rule_ord")
+    return M.find_matches(lines(spark, d).filter(X.scannable(F.col("line"))), rules(spark)).select("path", "line_number", "type_id", "value", "rule_ord")
 
 
-@query(None)
+@query(on_found('SELECT path, line_number, type_id, value, strlen(substring(line, 1, a - 1)) AS start, strlen(substring(line, 1, z - 1)) AS "end", severity FROM found'))
 def d04_catalogue_scan(spark, d):
     """All rules, overlaps resolved."""
-    return M.findings(lines(spark, d), rules(spark)).select("path", "line_number", "type_id", "value", "start", "end", "severity")
+    f = found(spark, d)
+    return f.select("path", "line_number", "type_id", "value", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "severity")
 
 
 @query("SELECT doc_id, round(sum(-p * log2(p)), 6) AS entropy FROM (SELECT doc_id, c, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> '') GROUP BY doc_id, c) GROUP BY doc_id")
@@ -250,7 +251,7 @@ def d12_redact(spark, d):
     return found(spark, d).select("path", "line_number", "type_id", "redacted_value")
 
 
-@query(on_found("SELECT path, line_number, type_id, secret FROM e WHERE type_id = 'PostgresConnectionString'"))
+@query(on_found(f"SELECT path, line_number, type_id, secret FROM e WHERE {IS_CONN}"))
 def d10_conn_credential(spark, d):
     return found(spark, d).filter("is_conn_string").select("path", "line_number", "type_id", X.conn_credential(F.col("value")).alias("secret"))
 
@@ -307,7 +308,7 @@ def a02_by_value(spark, d):
     return R.by_value(found(spark, d))
 
 
-@query(on_found("SELECT CASE type_id WHEN 'AwsAccessKey' THEN 'AWS' WHEN 'RsaPrivateKey' THEN 'Private Keys' WHEN 'PostgresConnectionString' THEN 'Databases' ELSE 'Other' END AS category, count(*) AS n, count(DISTINCT type_id) AS types FROM found GROUP BY 1"))
+@query(on_found("SELECT CASE type_id WHEN 'AwsAccessKey' THEN 'AWS' WHEN 'RsaPrivateKey' THEN 'Private Keys' WHEN 'PostgresConnectionString' THEN 'Databases' WHEN 'DatabaseUrl' THEN 'Databases' ELSE 'Other' END AS category, count(*) AS n, count(DISTINCT type_id) AS types FROM found GROUP BY 1"))
 def a04_findings_by_category(spark, d):
     return found(spark, d).groupBy(P.secret_category(F.col("display_name")).alias("category")).agg(F.count("*").alias("n"), F.count_distinct("type_id").alias("types"))
 
@@ -367,19 +368,18 @@ def t04_blast_radius(spark, d):
 
 @query(on_found("SELECT value, count(*) AS \"references\", count(DISTINCT path) AS files FROM found WHERE type_id = 'RsaPrivateKey' GROUP BY value"))
 def t02_trace_type(spark, d):
-    return R.trace_type(found(spark, d), "private key")
+    return R.trace_type(R.trace_findings(lines(spark, d), rules(spark)), "private key")
 
 
-@query(on_found("SELECT path, line_number, type_id, CASE WHEN type_id = 'AwsAccessKey' THEN regexp_matches(value, '^(AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|A3T)') AND strlen(value) = 20 WHEN type_id = 'RsaPrivateKey' THEN true WHEN type_id = 'PostgresConnectionString' THEN strlen(value) >= 10 ELSE strlen(value) >= 8 AND NOT regexp_matches(value, '[ \\t\\n\\r\\f]') END AS validated FROM found"))
+@query(on_found(f"SELECT path, line_number, type_id, CASE WHEN type_id = 'AwsAccessKey' THEN regexp_matches(value, '^(AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|A3T)') AND strlen(value) = 20 WHEN type_id = 'RsaPrivateKey' THEN true WHEN {IS_CONN} THEN contains(value, '://') AND strlen(value) >= 10 ELSE strlen(value) >= 8 AND NOT regexp_matches(value, '[ \\t\\n\\r\\f]') END AS validated FROM found"))
 def v01_verify_format(spark, d):
     return R.verify_format(found(spark, d), R.format_rules(spark)).select("path", "line_number", "type_id", "validated")
 
 
-_NAMES = "CASE type_id WHEN 'AwsAccessKey' THEN 'AWS Access Key' WHEN 'RsaPrivateKey' THEN 'RSA Private Key' WHEN 'PostgresConnectionString' THEN 'Postgres Connection String' WHEN 'GenericSecret' THEN 'Generic Secret' WHEN 'GenericApiKey' THEN 'Generic API Key' ELSE type_id END"
 _ROTATE = f"CASE type_id WHEN 'AwsAccessKey' THEN '{R.ROTATION['AwsAccessKey']}' WHEN 'RsaPrivateKey' THEN '{R.ROTATION['RsaPrivateKey']}' ELSE 'see the provider''s documentation' END"
 
 
-@query(on_found(f"SELECT path, line_number, type_id, CAST(s AS INTEGER) AS step, CASE s WHEN 1 THEN concat('rotate: ', {_ROTATE}) WHEN 2 THEN 'remove the value from history' ELSE concat('ignore: fingerprint:', sha256(concat_ws(':', {_NAMES}, path, value))) END AS action FROM found, generate_series(1, 3) g(s)"))
+@query(on_found(f"SELECT path, line_number, type_id, CAST(s AS INTEGER) AS step, CASE s WHEN 1 THEN concat('rotate: ', {_ROTATE}) WHEN 2 THEN 'remove the value from history' ELSE concat('ignore: fingerprint:', sha256(concat_ws(':', display_name, path, value))) END AS action FROM found, generate_series(1, 3) g(s)"))
 def r01_remediation_plan(spark, d):
     return R.remediation_plan(found(spark, d))
 

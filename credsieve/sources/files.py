@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 from collections.abc import Iterator
 
@@ -31,7 +32,8 @@ def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE, max_de
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= max_bytes)
     plain = F.regexp_replace("path", "^file:/+", "/")
     files = files.select(plain.alias("path"), "content", "length")
-    inner = P.relativize(F.col("path"), base)
+    alone = re.sub("^file:/+", "/", base)
+    inner = F.when(F.col("path") == alone, F.lit("")).otherwise(P.relativize(F.col("path"), base))  # a file named by itself is read wherever it lies
     files = files.filter(~inner.rlike(r"(^|/)\.git/") & (~inner.rlike("(^|/)target/") if include_deps else ~P.is_vendor(inner)))
     if max_depth is not None:
         files = files.filter(F.length(F.regexp_replace(inner, "[^/]", "")) <= max_depth)

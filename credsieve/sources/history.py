@@ -27,14 +27,14 @@ def added_lines(history: DataFrame) -> DataFrame:
     t = F.col("_t")
     hunk = F.regexp_extract(t, r"^@@ -\d+(?:,\d+)? \+(\d+)", 1)
     marked = (
-        lines.withColumn("file_path", F.last(F.when(t.rlike(r"^\+\+\+ b/"), F.substring(t, 7, 1 << 20)), True).over(w))
+        lines.withColumn("file_path", F.last(F.when(t.rlike(r"^\+\+\+ b/"), F.regexp_replace(t, "^.{6}", "")), True).over(w))
         .withColumn("_hunk", F.last(F.when(hunk != "", F.col("_i")), True).over(w))
         .withColumn("_from", F.last(F.when(hunk != "", hunk.try_cast("int")), True).over(w))
     )
     in_hunk = Window.partitionBy("commit_hash", "_hunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     body = marked.filter(F.col("_hunk").isNotNull() & (F.col("_i") > F.col("_hunk")) & ~t.rlike(r"^(diff --git|index |--- |\+\+\+ )"))
     numbered = body.withColumn("line_number", F.col("_from") + F.coalesce(F.sum(F.when(t.startswith("-") | t.startswith("\\"), 0).otherwise(1)).over(in_hunk), F.lit(0)))
-    return numbered.filter(t.startswith("+")).select("file_path", F.col("line_number").cast("int"), F.substring(t, 2, 1 << 20).alias("line"), "commit_hash", "commit_author", "commit_date")
+    return numbered.filter(t.startswith("+")).select("file_path", F.col("line_number").cast("int"), F.regexp_replace(t, "^.", "").alias("line"), "commit_hash", "commit_author", "commit_date")
 
 
 def ancestors(edges: DataFrame, commit: str) -> DataFrame:

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.match import find_matches, score
+from ..operators.match import scan_scannable
 
 
 def scan_stream(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Matches of arriving lines (path, line, ts): the batch operators that need no shuffle, so each micro-batch stands alone."""
-    hits = find_matches(lines.filter(X.scannable(F.col("line"))), rules)
-    scored = score(hits, comment=X.is_comment(F.col("line")))
-    return scored.withColumn("fingerprint", X.fingerprint(F.col("display_name"), F.col("path"), F.col("value")))
+    """Matches of arriving lines (path, line, ts), as a batch finds them: overlaps and generic matches are settled within the line, so that nothing is shuffled and each micro-batch stands alone."""
+    return scan_scannable(lines, rules).withColumn("fingerprint", X.fingerprint(F.col("display_name"), F.col("path"), F.col("value")))
 
 
 def first_seen(hits: DataFrame, delay: str = "1 day") -> DataFrame:
