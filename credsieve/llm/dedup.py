@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, fresh
 
+#: A text's rows meet in at least so many tasks.
 SALTS = 32
 
 
+def salts_for(rows: int) -> int:
+    """So many salts that neither a salt's share of the rows nor the number of salts that one text's classes come from grows faster than the root of the table."""
+    return max(SALTS, math.isqrt(rows // 64))
+
+
 def normalised(text: Column) -> Column:
     """A-Z become lower case, nothing else changes; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
@@ -22,17 +29,19 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest=sha256, salts: int = SALTS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest=sha256, salts: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, digest.
 
     Rows are combined three times, each time by digest and full content: inside each task (Spark's partial
     aggregation), per salt of a digest, and over the salts. A text with any number of copies thus reaches one task as at
-    most ``salts`` rows. The row with the largest id stays; of repeated rows with that id exactly one is marked kept.
+    most ``salts`` rows (see salts_for; unless they are given, the rows are counted first). The row with the largest id stays; of repeated rows with that id exactly one is marked kept.
     Rows find their group again by digest and salt. Texts that share a digest but differ are told apart by content.
 
     Nulls: a null text is an empty text, and a null id sorts below all others (a group of null ids keeps one of them).
-    An empty table gives an empty result. Other columns are ignored, whatever their names.
+    Texts of any length are compared whole. An empty table gives an empty result. Other columns are ignored, whatever
+    their names.
     """
+    salts = salts or salts_for(docs.count())
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_text")).withColumns(
         {"digest": digest(F.col("_text")), "_salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts))}
     )
@@ -61,12 +70,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns stay. Repeated rows (equal id and text) leave one."""
+    """docs without the rows that exact_groups drops; all columns stay, whatever their names.
+
+    Repeated rows (equal id and text) leave one. Null and empty texts are one group, of which the row with the largest id
+    stays (null ids sort first). An empty table gives an empty result.
+    """
     groups = exact_groups(docs, id_col, text_col)
-    gone = cut(groups.filter(~F.col("kept")).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_twins")))
-    marked = docs.withColumn("_digest_of", sha256(normalised(F.col(text_col))))
-    left = marked.join(gone.filter(~F.col("_twins")), marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_digest_of") == F.col("_digest")), "left_anti")
-    twins = gone.filter("_twins")
-    if not twins.isEmpty():
-        left = left.dropDuplicates([id_col, "_digest_of"])
-    return left.select(*docs.columns)
+    own, i, k = fresh(docs, "digest_of", "gone_id", "gone_digest")
+    gone = cut(groups.filter(~F.col("kept")).groupBy(F.col("doc_id").alias(i), F.col("digest").alias(k)).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_twins")))
+    marked = docs.withColumn(own, sha256(normalised(F.col(text_col))))
+    left = marked.join(gone.filter(~F.col("_twins")).drop("_twins"), F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(k)), "left_anti")
+    if not gone.filter("_twins").isEmpty():
+        left = left.dropDuplicates([id_col, own])
+    return left.drop(own)
