@@ -107,6 +107,28 @@ def test_topk_odd_vectors(spark):
     assert topk.maxscore_topk(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["dense", "sparse", "equal", "positive"])
+def test_topk_against_brute_force(spark, kind):
+    rng = np.random.default_rng(7)
+    made = {"dense": rng.normal(0, 1, (700, 12)), "sparse": rng.normal(0, 1, (700, 12)) * (rng.random((700, 12)) < 0.15), "equal": np.repeat(rng.normal(0, 1, (7, 12)), 100, 0), "positive": rng.random((700, 12))}[kind]
+    rows = [(i, v.tolist(), "clash") for i, v in enumerate(made)]
+    got = topk.maxscore_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string"), F.col("vec_id") % 50 == 0, shard_rows=60, block_rows=6).collect()
+    q = np.floor(made * 256).astype(np.int64)
+    want = {(i, rank, j, int(q[i] @ q[j])) for i in range(0, 700, 50) for rank, j in enumerate(sorted((j for j in range(700) if j != i), key=lambda j: (-int(q[i] @ q[j]), j))[:5], 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_topk_reads_few_postings_of_sparse_vectors():
+    rng = np.random.default_rng(8)
+    rows = np.floor(256 * rng.lognormal(0, 1, (4000, 200)) * (rng.random((4000, 200)) < 0.05)).astype(np.int64)
+    shard, held = topk.Postings(np.arange(4000), rows), 0
+    for i in range(0, 4000, 50):
+        shard.top(rows[i], i, 5)
+        held += (rows[:, rows[i] > 0] > 0).sum()
+    assert shard.read < 0.5 * held, shard.read / held
+    assert [b for _, b in topk.rounds(100)] == [1, 8, 64, 100] and list(topk.rounds(1)) == [(0, 1)]
+
+
 def test_packing(spark):
     got = packing.pack(spark.read.parquet(f"{SMALL}/documents.parquet")).toPandas().sort_values(["sequence_id", "offset"])
     whole = got.groupby("sequence_id").length
