@@ -90,10 +90,10 @@ class Markov:
 def count_slots(texts: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Counts for Markov over all texts (_text, _accepted), made in Spark; None if one class is missing."""
     padded = F.concat(F.lit(START * order), "_text", F.lit(END))
+    chars = F.filter(F.split(padded, ""), lambda c: c != "")  # windows of an array, as places in a string are counted from its start
     windows = (
-        texts.select("_accepted", padded.alias("_p"))
-        .select("_accepted", "_p", F.explode(F.sequence(F.lit(order + 1), F.length("_p"))).alias("_i"))
-        .select("_accepted", F.expr(f"substring(_p, _i - {order}, {order + 1})").alias("_w"))
+        texts.select("_accepted", chars.alias("_c"))
+        .select("_accepted", F.explode(F.expr(f"transform(sequence(1, size(_c) - {order}), i -> array_join(slice(_c, i, {order + 1}), ''))")).alias("_w"))
         .groupBy("_w").agg(F.count_if("_accepted").alias("_a"), F.count_if(~F.col("_accepted")).alias("_r"))
     )
     ends = F.explode(F.array(*[F.substring("_w", order + 1 - n, n + 1) for n in range(order + 1)]))
