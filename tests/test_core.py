@@ -111,6 +111,11 @@ def test_history(spark):
     assert {r[0] for r in H.ancestors(edges, "b").collect()} == {"a", "b"}
 
 
+def test_newest_commits(spark):
+    h = spark.createDataFrame([("b", 2), ("a", 2), ("c", 1), ("d", None)], "commit_hash string, s long").select("commit_hash", F.timestamp_seconds("s").alias("commit_date"))
+    assert [r.commit_hash for r in R.newest(h, 3).collect()] == ["a", "b", "c"]
+
+
 def test_ancestors_of_deep_history(spark):
     """150 generations, with a branch that is merged."""
     pairs = [(f"c{i}", f"c{i - 1}") for i in range(1, 151)] + [("c120", "b2"), ("b2", "b1"), ("b1", "c40"), ("x", "c9")]
@@ -156,7 +161,7 @@ def test_streaming_scan(spark, tmp_path):
     assert spark.table("once").count() == 1 and spark.table("rate").first()["n"] == 2
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.ORACLES) - {"f03_json_leaves"}))
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "conversations", "events"):
