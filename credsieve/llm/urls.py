@@ -15,8 +15,8 @@ from .common import cut
 #: (verdict, host and path); the longest that fits wins.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 ORDER = 4
-#: Counts lie in hashed slots (a count-min sketch), 32 for each distinct key but at most so many: 96 MB in all, which bounds what is broadcast.
-LEAST_SLOTS, MOST_SLOTS = 1 << 10, 1 << 22
+#: Counts lie in hashed slots (a count-min sketch), 32 for each distinct key but at most so many: 48 MB in all, which bounds what is broadcast.
+LEAST_SLOTS, MOST_SLOTS = 1 << 10, 1 << 21
 #: A key has three slots, by these bits of its hash.
 SHIFTS = (0, 21, 42)
 #: The calibration sees differences in steps of 1 / STEPS up to LIMIT, so that at most so many counts reach the driver.
