@@ -11,12 +11,14 @@ from pyspark.sql.window import Window
 
 from .common import cut, fresh
 
-#: A text's rows meet in at least so many tasks.
+#: A hot text's rows are combined under at least so many salts.
 SALTS = 32
+#: A text is hot from so many rows on, or 1 / MOST_HOT of the table: no more texts than that can be, which bounds what is broadcast.
+HOT_ROWS, MOST_HOT = 1 << 10, 1 << 16
 
 
 def salts_for(rows: int) -> int:
-    """So many salts that neither a salt's share of the rows nor the number of salts that one text's classes come from grows faster than the root of the table."""
+    """So many salts that neither a salt's share of the rows nor the number of salt winners of one text grows faster than the root of the table."""
     return max(SALTS, math.isqrt(rows // 64))
 
 
@@ -29,44 +31,42 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest=sha256, salts: int | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest=sha256, salts: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, digest.
 
-    Rows are combined three times, each time by digest and full content: inside each task (Spark's partial
-    aggregation), per salt of a digest, and over the salts. A text with any number of copies thus reaches one task as at
-    most ``salts`` rows (see salts_for; unless they are given, the rows are counted first). The row with the largest id stays; of repeated rows with that id exactly one is marked kept.
-    Rows find their group again by digest and salt. Texts that share a digest but differ are told apart by content.
+    Rows are combined by digest and full content, first inside each task (Spark's partial aggregation), then per salt of a
+    digest, then over the salts. Only hot digests need more than one salt (see HOT_ROWS, salts_for; rows are counted by
+    digest first), so that only their salt winners are shuffled once more. The row with the largest id stays; of repeated
+    rows with that id exactly one is marked kept. Rows find their group again by digest and a second hash, and by content
+    too where two texts share both; those of hot digests by a broadcast of bounded size.
 
     Nulls: a null text is an empty text, and a null id sorts below all others (a group of null ids keeps one of them).
     Texts of any length are compared whole. An empty table gives an empty result. Other columns are ignored, whatever
     their names.
     """
-    salts = salts or salts_for(docs.count())
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_text")).withColumns(
-        {"digest": digest(F.col("_text")), "_salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts))}
-    )
-    local = rows.groupBy("digest", "_salt", "_text").agg(F.max("doc_id").alias("_top"), F.count("*").alias("_n"))
-    content, same = Window.partitionBy("digest", "_text"), Window.partitionBy("digest")
-    merged = (
-        local.repartition("digest")
-        .withColumn("_class", F.dense_rank().over(same.orderBy("_text")))
-        .withColumns({"keep_id": F.max("_top").over(content), "group_size": F.sum("_n").over(content)})
-        .withColumn("_alike", F.max("_class").over(same) == 1)
-        .select("digest", "_salt", "keep_id", "group_size", F.when(~F.col("_alike"), F.col("_text")).alias("_differs"))
-    )
-    groups = cut(merged)
-    on = (rows["digest"] == groups["digest"]) & (rows["_salt"] == groups["_salt"])
-    if not groups.filter(F.col("_differs").isNotNull()).isEmpty():  # one digest, several texts: content decides
-        on = on & (groups["_differs"].isNull() | (groups["_differs"] == rows["_text"]))
-    found = rows.join(groups, on).select(rows["doc_id"], rows["digest"], rows["_salt"], "keep_id", "group_size")
-    twin = Window.partitionBy("digest", "_salt", "doc_id").orderBy("keep_id")
-    return found.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(twin) == 1)).alias("kept"),
-        "digest",
-    )
+    n = docs.count()
+    salts, hot_rows = salts or salts_for(n), hot_rows or max(HOT_ROWS, n // MOST_HOT)
+    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_text"))
+    rows = texts.withColumns({"digest": digest(F.col("_text")), "_mark": F.xxhash64("_text")})
+    hot = F.broadcast(cut(rows.groupBy("digest").agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows).select(F.col("digest").alias("_hot"))))
+    few, many = (rows.join(hot, F.col("digest") == F.col("_hot"), how) for how in ("left_anti", "left_semi"))
+    by = ["digest", "_mark", "_text"]
+    best, size = F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
+    once = few.groupBy(*by).agg(best, size)
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).groupBy(*by, "_salt").agg(best, size)
+    merged = salted.groupBy(*by).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    def found(own: DataFrame, groups: DataFrame, bounded: bool) -> DataFrame:
+        slim, on = cut(groups.drop("_text")), by[:2]
+        if slim.groupBy(*on).count().filter("count > 1").isEmpty():
+            slim = F.broadcast(slim) if bounded else slim
+        else:  # one digest and second hash, several texts: content decides
+            slim, on = cut(groups), by
+        twin = Window.partitionBy("digest", "_mark", "doc_id").orderBy("keep_id")
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(twin) == 1)
+        return own.join(slim, on).select("doc_id", "keep_id", "group_size", "digest", "_mark").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
+
+    return found(few, once, False).union(found(many, merged, True))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

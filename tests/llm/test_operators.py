@@ -53,10 +53,14 @@ def test_odd_tables_and_empty_tables(spark):
     assert dedup.drop_copies(d).columns == d.columns and jaccard.keep_one(d).columns == d.columns and mixing.remix(d).columns == d.columns
 
 
-def test_dedup_with_colliding_digests(spark):
-    rows = [(i, f"Text {i % 7}", "en", "a") for i in range(60)]
-    got = dedup.exact_groups(docs(spark, rows), digest=lambda t: F.lit("same"), salts=3).collect()
-    assert {(r.doc_id, r.keep_id) for r in got} == {(i, max(j for j in range(60) if j % 7 == i % 7)) for i in range(60)} and len(got) == 60
+@pytest.mark.parametrize("hot", [None, 1, 9])
+def test_dedup_with_colliding_digests(spark, hot):
+    rows = [(i, f"Text {min(i % 7, 4)}", "en", "a") for i in range(60)]
+    want = {(i, max(j for j in range(60) if min(j % 7, 4) == min(i % 7, 4))) for i in range(60)}
+    for digest in (lambda t: F.lit("same"), dedup.sha256):
+        got = dedup.exact_groups(docs(spark, rows), digest=digest, salts=3, hot_rows=hot).collect()
+        assert {(r.doc_id, r.keep_id) for r in got} == want and len(got) == 60 and sum(r.kept for r in got) == 5
+        assert {(r.keep_id, r.group_size) for r in got} == {(k, sum(x == k for _, x in want)) for k in {x for _, x in want}}
 
 
 def brute_jaccard(rows):
