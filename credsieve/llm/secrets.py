@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import string
@@ -41,7 +42,7 @@ LEVELS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3)
 FALSE_DISCOVERY = 0.05
 #: A stratum's tail of structured tokens counts for itself by its tokens, and for all strata of its length by so many.
 PRIOR_TOKENS = 20
-SPAN = "struct<start:int,end:int,encoding:string,stratum:int,p:double>"
+SPAN = "struct<start:int,end:int,encoding:string,stratum:int,p:double,key:long>"
 
 
 def infer(token: str) -> tuple[str, list[int], int] | None:
@@ -116,18 +117,23 @@ def stratum(n: int) -> int:
     return max(x for x in LENGTHS if x <= max(n, LENGTHS[0]))
 
 
+def token_key(token: str) -> int:
+    """A 64-bit number for the token."""
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> tuple[list[dict], list[bool]]:
     """The battery's tokens of a text, and which of them are a base span already."""
     found, taken, known = [], [], {(s, e) for s, _, e in base}
     for m in TOKEN.finditer(text):
         if got := infer(m[0]):
-            found.append({"start": m.start(), "end": m.end(), "encoding": got[0], "stratum": stratum(len(got[1])), "p": battery(*got[1:])})
+            found.append({"start": m.start(), "end": m.end(), "encoding": got[0], "stratum": stratum(len(got[1])), "p": battery(*got[1:]), "key": token_key(m[0])})
             taken.append((m.start(), m.end()) in known)
     return found, taken
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("stratum", pa.int32()), ("p", pa.float64())]))
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("stratum", pa.int32()), ("p", pa.float64()), ("key", pa.int64())]))
     for b in batches:
         base, found, taken = [], [], []
         for t in b[1].to_pylist():
@@ -185,8 +191,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc_id and spans, an array of (start, end, kind) in code points, by start, then kind.
 
     Kinds assign, access and hex are base patterns. Kind random holds further tokens whose characters pass the tests of
-    randomness in their encoding, at a level set per encoding and length over all tokens of the table (see levels): the
-    value of an assignment is judged by itself, but a token that is a base span already adds nothing. Short tokens give
+    randomness in their encoding, at a level set per encoding and length over all different tokens of the table (see
+    levels; copies of a token are no further evidence): the value of an assignment is judged by itself, but a token that is a base span already adds nothing. Short tokens give
     the tests little power; a stratum whose structured tokens can't be told from random ones has no level and adds
     nothing. The levels are at most encodings x lengths rows, which bounds the broadcast.
 
@@ -201,7 +207,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             _scan, f"doc_id {kind}, base array<struct<start:int,kind:int,end:int>>, found array<{SPAN}>, taken array<boolean>"
         )
     )
-    passing = levels(scanned.select(F.inline("found")), q).groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "encoding", "stratum"), "level"))).alias("levels"))
+    passing = levels(scanned.select(F.inline("found")).dropDuplicates(["encoding", "stratum", "key"]), q).groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "encoding", "stratum"), "level"))).alias("levels"))
     flagged = F.filter(F.arrays_zip("found", "taken"), lambda x: ~x["taken"] & F.coalesce(x["found"]["p"] >= F.try_element_at("levels", F.concat_ws("/", x["found"]["encoding"], x["found"]["stratum"])), F.lit(False)))
     added = F.transform(flagged, lambda x: F.struct(x["found"]["start"].alias("start"), F.lit(3).alias("kind"), x["found"]["end"].alias("end")))
     spans = F.array_sort(F.concat("base", added))
