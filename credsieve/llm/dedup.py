@@ -31,6 +31,23 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _by_heat(rows: DataFrame, digest: str, salts: int | None, hot_rows: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """rows with cool and with hot digests (see HOT_ROWS), and the number of salts; the hot digests are a broadcast of bounded size."""
+    n = rows.count()
+    hot_rows = hot_rows or max(HOT_ROWS, n // MOST_HOT)
+    (own,) = fresh(rows, "hot_digest")
+    hot = F.broadcast(cut(rows.groupBy(F.col(digest).alias(own)).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows).select(own)))
+    few, many = (rows.join(hot, F.col(digest) == F.col(own), how) for how in ("left_anti", "left_semi"))
+    return few, many, salts or salts_for(n)
+
+
+def _combined(many: DataFrame, salts: int) -> DataFrame:
+    """doc_id, digest, _mark, _text of hot digests -> keep_id and group_size of each text: inside each task, per salt, then over the salts."""
+    by = ["digest", "_mark", "_text"]
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).groupBy(*by, "_salt").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return salted.groupBy(*by).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest=sha256, salts: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, digest.
 
@@ -44,17 +61,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts of any length are compared whole. An empty table gives an empty result. Other columns are ignored, whatever
     their names.
     """
-    n = docs.count()
-    salts, hot_rows = salts or salts_for(n), hot_rows or max(HOT_ROWS, n // MOST_HOT)
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_text"))
     rows = texts.withColumns({"digest": digest(F.col("_text")), "_mark": F.xxhash64("_text")})
-    hot = F.broadcast(cut(rows.groupBy("digest").agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows).select(F.col("digest").alias("_hot"))))
-    few, many = (rows.join(hot, F.col("digest") == F.col("_hot"), how) for how in ("left_anti", "left_semi"))
+    few, many, salts = _by_heat(rows, "digest", salts, hot_rows)
     by = ["digest", "_mark", "_text"]
-    best, size = F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
-    once = few.groupBy(*by).agg(best, size)
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).groupBy(*by, "_salt").agg(best, size)
-    merged = salted.groupBy(*by).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    once = few.groupBy(*by).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    merged = _combined(many, salts)
 
     def found(own: DataFrame, groups: DataFrame, bounded: bool) -> DataFrame:
         slim, on = cut(groups.drop("_text")), by[:2]
@@ -69,17 +81,31 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found(few, once, False).union(found(many, merged, True))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest=sha256, salts: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """docs without the rows that exact_groups drops; all columns stay, whatever their names.
 
+    Whole rows are shuffled once at most. Hot digests are combined as in exact_groups, and their rows stay where they are:
+    the winners are a broadcast of bounded size. Rows of a cool digest, fewer than a hot one has, meet in one task, where
+    full contents are compared and the last row of each text stays.
+
     Repeated rows (equal id and text) leave one. Null and empty texts are one group, of which the row with the largest id
-    stays (null ids sort first). An empty table gives an empty result.
+    stays (null ids sort first). Texts of any length are compared whole. An empty table gives an empty result.
     """
-    groups = exact_groups(docs, id_col, text_col)
-    own, i, k = fresh(docs, "digest_of", "gone_id", "gone_digest")
-    gone = cut(groups.filter(~F.col("kept")).groupBy(F.col("doc_id").alias(i), F.col("digest").alias(k)).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_twins")))
-    marked = docs.withColumn(own, sha256(normalised(F.col(text_col))))
-    left = marked.join(gone.filter(~F.col("_twins")).drop("_twins"), F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(k)), "left_anti")
-    if not gone.filter("_twins").isEmpty():
-        left = left.dropDuplicates([id_col, own])
-    return left.drop(own)
+    own, mark, text, place = fresh(docs, "digest_of", "mark_of", "text_of", "place_of")
+    plain = normalised(F.col(text_col))
+    few, many, salts = _by_heat(docs.withColumns({own: digest(plain), mark: F.xxhash64(plain)}), own, salts, hot_rows)
+    same = Window.partitionBy(own, mark, text).orderBy(F.col(id_col).desc_nulls_last())
+    cool = few.repartition(own).withColumn(text, plain).withColumn(place, F.row_number().over(same)).filter(F.col(place) == 1).drop(text, place)
+
+    names = {id_col: "doc_id", own: "digest", mark: "_mark"}
+    merged = _combined(many.select(*[F.col(c).alias(to) for c, to in names.items()], plain.alias("_text")), salts)
+    best, keys = cut(merged.drop("group_size")), [own, mark]
+    if not best.groupBy("digest", "_mark").count().filter("count > 1").isEmpty():  # one digest and second hash, several texts: content decides
+        keys.append(text)
+    slim = best.select(F.col("keep_id").alias(place), *[F.col(c).alias(f"{place}_{k}") for k, c in enumerate(("digest", "_mark", "_text")[: len(keys)])])
+    on = F.col(id_col).eqNullSafe(F.col(place))
+    for k, c in enumerate(keys):
+        on &= F.col(c) == F.col(f"{place}_{k}")
+    slim = F.broadcast(slim) if len(keys) == 2 else slim
+    hot = many.withColumn(text, plain).join(slim, on, "left_semi").dropDuplicates([id_col, *keys]).drop(text)
+    return cool.union(hot).drop(own, mark)

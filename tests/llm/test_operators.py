@@ -63,6 +63,20 @@ def test_dedup_with_colliding_digests(spark, hot):
         assert {(r.keep_id, r.group_size) for r in got} == {(k, sum(x == k for _, x in want)) for k in {x for _, x in want}}
 
 
+@pytest.mark.parametrize("hot", [None, 1, 9])
+def test_drop_copies_against_brute_force(spark, hot):
+    """Hot and cool digests, colliding ones too: of texts equal but for A-Z one row with the largest id, repeated rows and null ids included."""
+    rows = [(i, f"{'Text' if i % 2 else 'tEXT'} {min(i % 7, 4)}", "en", "a") for i in range(60)] * 2 + [(None, "text 0", "en", "a"), (None, "none", "en", "a"), (None, "None", "en", "a"), (70, None, "en", "a"), (71, "", "en", "a"), (80, "\u00c4 x", "en", "a"), (81, "\u00e4 x", "en", "a")]
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    best = {}
+    for i, t, *_ in rows:
+        best[lower(t)] = max(best.get(lower(t), -1), -1 if i is None else i)
+    want = sorted((-1 if i is None else i, t) for t, i in best.items())
+    for digest in (lambda t: F.lit("same"), dedup.sha256):
+        got = dedup.drop_copies(docs(spark, rows), digest=digest, salts=3, hot_rows=hot)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, lower(r.text)) for r in got.collect()) == want
+
+
 def brute_jaccard(rows):
     sets = {i: frozenset(zip(*[(w := t.lower().split())[k:] for k in range(5)])) or (frozenset([tuple(w)]) if w else frozenset()) for i, t in rows}
     parent, links = {i: i for i in sets}, collections.Counter()
