@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, jaccard, langid, mixing, packing, quality, secrets, sharding, topk, urls
+from . import align, dedup, jaccard, langid, lines, mixing, packing, quality, ranked, secrets, sharding, topk, urls
 from .common import crc_mod, table
 
 THRESHOLD = 0.3
@@ -59,7 +59,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_url_filter, op4_maxscore_topk, op5_best_fit_packing, op6_quality, op7_vector_sharding, op8_mix_sources, op9_exact_dedup, op10_secret_scan)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_url_filter, op4_maxscore_topk, op5_best_fit_packing, op6_quality, op7_vector_sharding, op8_mix_sources, op9_exact_dedup, op10_secret_scan, op11_token_alignment, op12_ranked_search, op13_line_dedup)}
 
 ORACLES = {
     "op4_maxscore_topk": """
@@ -75,4 +88,23 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size,
                doc_id = keep_id AND row_number() OVER (PARTITION BY d.t, doc_id ORDER BY keep_id) = 1 AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op12_ranked_search": r"""
+        WITH words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+             size AS (SELECT r, doc_id, len(w) AS n FROM words WHERE len(w) > 0),
+             whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM size),
+             item AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+             posting AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+             weight AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM posting GROUP BY term), whole),
+             scored AS (SELECT item_id, r, CAST(sum(repeats * w * (1000000000 * tf // (1000 * tf + 8 * (25 + 75 * n * n_docs // n_terms)))) AS BIGINT) AS score
+                        FROM item JOIN weight USING (term) JOIN posting USING (term) JOIN size USING (r), whole GROUP BY ALL),
+             placed AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored JOIN size USING (r) WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 10""",
+    "op13_line_dedup": """
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+             line AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS place, unnest(l) AS line FROM split),
+             keyed AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+             common AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+             marked AS (SELECT k.doc_id, place, line, first IS NOT NULL AND k.doc_id <> first AS gone FROM keyed k LEFT JOIN common USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
 }
