@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
+from operator import or_
+from re._constants import ASSERT, ASSERT_NOT, AT, BRANCH, IN, LITERAL, MAX_REPEAT, MIN_REPEAT, RANGE, SUBPATTERN
+from re._parser import parse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +24,72 @@ MOST_RULES = 20_000
 ABOUT = {"type_id": T.StringType(), "display_name": T.StringType(), "severity": T.StringType(), "confidence": T.DoubleType(), "is_generic": T.BooleanType(), "is_private_key": T.BooleanType(), "is_conn_string": T.BooleanType()}
 
 
+# ---- what a line must hold ----
+
+#: Characters of tokens; a rule whose every match holds so many of them side by side needs no other look at lines without.
+TOKEN, RUN = "A-Za-z0-9_+/=.~%!$:@-", 20
+#: What case folding makes an ASCII letter of, beyond ASCII: lines with one are never ruled out.
+FOLDED = "\u0130\u0131\u017f\u212a"
+_TOKEN_CODES = frozenset(c for c in range(128) if re.match(f"[{TOKEN}]", chr(c)))
+
+
+def sure_run(regex: str) -> int:
+    """A length of token characters side by side that every match of the pattern has; 0 where none is sure."""
+
+    def within(items) -> bool:
+        for op, arg in items:
+            codes = [arg] if op is LITERAL else range(arg[0], arg[1] + 1) if op is RANGE else [-1]
+            if not _TOKEN_CODES.issuperset(codes):
+                return False
+        return True
+
+    def joined(parts) -> tuple[bool, int, int, int, int]:
+        """Only token characters; least number of them; sure run at the start, anywhere, at the end."""
+        only, least, head, best, tail = True, 0, 0, 0, 0
+        for only_, least_, head_, best_, tail_ in parts:
+            best = max(best, best_, tail + head_)
+            head = least + head_ if only else head
+            tail = tail + least_ if only_ else tail_
+            only, least = only and only_, least + least_
+        return only, least, head, best, tail
+
+    def part(op, arg) -> tuple[bool, int, int, int, int]:
+        if op is LITERAL and arg in _TOKEN_CODES or op is IN and within(arg):
+            return True, 1, 1, 1, 1
+        if op is SUBPATTERN:
+            return tree(arg[-1])
+        if op is BRANCH:
+            each = [tree(b) for b in arg[1]]
+            return (all(x[0] for x in each), *[min(x[k] for x in each) for k in range(1, 5)])
+        if op in (MAX_REPEAT, MIN_REPEAT):
+            times, inner = min(arg[0], RUN), tree(arg[2])
+            return joined([inner] * times) if times and times == arg[1] else joined([*[inner] * times, (inner[0], 0, 0, 0, 0)])
+        return op in (AT, ASSERT, ASSERT_NOT), 0, 0, 0, 0
+
+    def tree(nodes) -> tuple[bool, int, int, int, int]:
+        return joined(part(op, arg) for op, arg in nodes)
+
+    return tree(parse(regex))[3]
+
+
+def candidate(line: Column, rules: list[dict]) -> Column:
+    """False for lines that no rule can match, without Python: they have no run of RUN token characters, nor an anchor (and a quote where one is needed) of a rule that may do without such a run."""
+    has = lambda text, parts: reduce(or_, [F.contains(text, F.lit(a)) for a in parts])
+    # a run lies within a word, and only lines with a word so long are searched for one
+    out = F.exists(F.split(line, " "), lambda w: F.octet_length(w) >= RUN) & line.rlike(f"[{TOKEN}]{{{RUN}}}") | has(line, FOLDED)
+    for needs_quote in (False, True):
+        anchors = {a for r in rules if r["needs_quote"] == needs_quote and sure_run(r["regex"]) < RUN for a in r["anchors"]}
+        if anchors:
+            fewest = sorted(a for a in anchors if not any(b != a and b in a for b in anchors))
+            sure = all(a and a.isascii() for a in fewest)
+            met = F.exists(F.array(F.lower(line)), lambda low: has(low, fewest)) if sure else F.lit(True)  # noqa: B023  in lower case once
+            out = out | (has(line, "'\"") & met if needs_quote else met)
+    return out
+
+
+# ---- matching ----
+
+
 class Catalogue:
     """Rules as one task uses them: a search for all anchors at once, and patterns that are compiled when first met."""
 
@@ -101,14 +171,15 @@ def _scan(lines: DataFrame, rules: DataFrame, line_col: str, kept: bool) -> Data
                     [*left.schema.names, *about, "value", "start", "end"],
                 )
 
-    return lines.mapInArrow(matched, schema)
+    return lines.filter(candidate(F.col(line_col), rows)).mapInArrow(matched, schema)
 
 
 def find_matches(lines: DataFrame, rules: DataFrame, line_col: str = "line") -> DataFrame:
     """lines' columns and rule_ord, type_id, display_name, severity, confidence, is_generic, is_private_key, is_conn_string, value, start, end for every match of every rule; offsets in bytes.
 
-    One pass in Arrow batches: all anchors are looked for at once, and only patterns of rules whose anchor is there, with a
-    quote where they need one, are tried. A null line has no matches.
+    One pass: what no rule can match is left out in the JVM (see candidate); of the rest, which goes to Python in Arrow
+    batches, all anchors are looked for at once, and only patterns of rules whose anchor is there, with a quote where they need
+    one, are tried. A null line has no matches.
     """
     return _scan(lines, rules, line_col, False)
 

@@ -225,7 +225,8 @@ def p19_relativize(spark, d):
 
 @query(on_found("SELECT path, line_number, type_id, value, rule_ord FROM met"))
 def d03_find_matches(spark, d):
-    return M.find_matches(lines(spark, d).filter(X.scannable(F.col("line"))), rules(spark)).select("path", "line_number", "type_id", "value", "rule_ord")
+    met = M.find_matches(lines(spark, d).filter(F.octet_length("line") <= X.MAX_LINE_BYTES), rules(spark))
+    return met.filter(~X.is_placeholder(F.col("line"))).select("path", "line_number", "type_id", "value", "rule_ord")
 
 
 @query(on_found('SELECT path, line_number, type_id, value, strlen(substring(line, 1, a - 1)) AS start, strlen(substring(line, 1, z - 1)) AS "end", severity FROM found'))

@@ -91,11 +91,15 @@ def skip_noise(files: DataFrame) -> DataFrame:
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
-    """path, line_number from 1, line, line_before, line_after. One trailing CR goes, and so does an empty last line. Neighbours come from the array, so that nothing is shuffled."""
+    """path, line_number from 1, line, line_before, line_after. One trailing CR goes, and so does an empty last line. Neighbours come from the array, so that nothing is shuffled.
+
+    The explode is an outer one, whose row for a file without lines goes again: an inner one makes Spark look at the array's
+    size before, and so split every text once more.
+    """
     parts = F.split("content", "\n")
     whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    cut = files.select("path", F.transform(whole, lambda x: F.regexp_replace(x, "\r$", "")).alias("_l"))
-    at = cut.select("path", "_l", F.posexplode("_l").alias("_i", "line"))
+    plain = F.when(F.contains("content", F.lit("\r")), F.transform(whole, lambda x: F.regexp_replace(x, "\r$", ""))).otherwise(whole)
+    at = files.select("path", plain.alias("_l")).select("path", "_l", F.posexplode_outer("_l").alias("_i", "line")).filter(F.col("_i").isNotNull())
     return at.select("path", (F.col("_i") + 1).alias("line_number"), "line", F.when(F.col("_i") > 0, F.get("_l", F.col("_i") - 1)).alias("line_before"), F.get("_l", F.col("_i") + 1).alias("line_after"))
 
 
