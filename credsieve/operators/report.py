@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import paths as P
+from ..sources.files import is_own_output
+from .dictionary import contained
 from .match import TRACE_ENTROPY, findings, scan_lines
 from .suppress import likely_false_positive
 
@@ -82,43 +83,19 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 # ---- traces ----
 
-#: So many values are looked for in one pass.
-BLOCK = 50_000
-
 # Where a leaked value reaches.
 BLAST = (("environment", r"\.env$|\.env\.local$|\.env\.production$"), ("config", r"\.(toml|yaml|yml|json|ini|conf)$"), ("cicd", r"jenkinsfile|dockerfile|\.github/|\.gitlab-ci|\.circleci"), ("infrastructure", r"\.tf$|\.tfvars$|docker-compose|k8s|helm"))
 
 
+def traceable(files: DataFrame) -> DataFrame:
+    """Files that traces look at: all but reports of scans and pages, which repeat what was found elsewhere."""
+    page = F.coalesce(P.file_ext(F.col("path")), F.lit("")) == "html"
+    return files.filter(~page & ~is_own_output(F.col("path"), F.col("content")))
+
+
 def trace_values(lines: DataFrame, values: DataFrame) -> DataFrame:
-    """value, path, line_number of every line that holds one of the values (value); empty values are left out. All are looked for at once, in one pass, in blocks of at most BLOCK values."""
-    wanted = values.select("value").filter("value <> ''").distinct()
-    blocks = -(-wanted.count() // BLOCK)
-    own = wanted.withColumn("_block", F.pmod(F.xxhash64("value"), F.lit(max(1, blocks))))
-    path, number = (lines.schema[c].dataType for c in ("path", "line_number"))
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("path", path), T.StructField("line_number", number)])
-
-    def looked_for(block: list[str]):
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            search = ahocorasick.Automaton()
-            for v in block:
-                search.add_word(v, v)
-            search.make_automaton()
-            for b in batches:
-                hits = [(v, i) for i, line in enumerate(b["line"].to_pylist()) if line for v in sorted({v for _, v in search.iter(line)})]
-                at = pa.array([i for _, i in hits], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in hits], pa.string()), b["path"].take(at), b["line_number"].take(at)], ["value", "path", "line_number"])
-
-        return look
-
-    slim = lines.select("path", "line_number", "line")
-    out = lines.sparkSession.createDataFrame([], schema)
-    for k in range(blocks):
-        block = [r["value"] for r in own.filter(F.col("_block") == k).collect()]  # about BLOCK values
-        if block:
-            out = out.union(slim.mapInArrow(looked_for(block), schema))
-    return out
+    """value, path, line_number of every line that holds one of the values (value): see dictionary.contained. Lines should come from traceable files."""
+    return contained(lines.select("path", "line_number", "line"), values, "line").select("value", "path", "line_number")
 
 
 def trace_type(found: DataFrame, part: str) -> DataFrame:

@@ -95,6 +95,19 @@ def s10_merge_cumulative(spark, d):
     return H.merge_cumulative(f.filter("severity <> 'HIGH'"), f).select("file_path", "value", "type_id")
 
 
+_OLD = "CASE doc_id % 4 WHEN 1 THEN content WHEN 2 THEN coalesce(text, '') WHEN 3 THEN concat('an older line', chr(10), content) END"
+
+
+@query(f"""WITH f AS (SELECT files.*, text, coalesce(text, '') AS old FROM ({FILES}) files JOIN documents USING (doc_id)), s AS (SELECT *, string_split(content, chr(10)) AS l, string_split(old, chr(10)) AS o FROM f),
+x AS (SELECT path, doc_id % 4 AS kind, CASE WHEN o[-1] = '' THEN len(o) - 1 ELSE len(o) END AS n_old, unnest(generate_series(1, len(l))) AS line_number, unnest(l) AS line FROM s)
+SELECT path AS file_path, CAST(line_number AS INTEGER) AS line_number, line, 'c1' AS commit_hash FROM x WHERE kind = 0 OR kind = 2 AND line_number > n_old""")
+def s10_tree_diff(spark, d):
+    """A snapshot where one file in four is new, one is as it was, one has grown, and one has lost its first line."""
+    now = files(spark, d).withColumn("text", F.expr("substring(content, 1, length(content) - length(element_at(split(content, chr(10)), -1)) - 1)"))
+    old = now.withColumn("content", F.expr(_OLD)).filter("content IS NOT NULL")
+    return H.tree_diff(old, now, "c1").select("file_path", "line_number", "line", "commit_hash")
+
+
 @query(on_found("SELECT path, value, type_id FROM found WHERE (path, value) NOT IN (SELECT (path, value) FROM found WHERE is_test_file)"))
 def j06_not_in_worktree(spark, d):
     f = found(spark, d)
@@ -262,6 +275,19 @@ def t03_trace_file(spark, d):
     return R.trace_file(lines(spark, d), rules(spark), path)
 
 
+_OF_FILE = f"CASE WHEN doc_id % 2 = 0 THEN {_MD5} ELSE substring(text, 1, 32) END AS value"
+_REPORTS = "CASE doc_id % 16 WHEN 3 THEN concat('out/', doc_id, '.html') WHEN 5 THEN concat('out/', doc_id, '.sarif') WHEN 9 THEN concat('out', doc_id, '/scan.json') ELSE path END AS path, content"
+
+
+@query(f"""WITH files AS (SELECT {_REPORTS} FROM ({FILES})), {LINES}, v AS (SELECT DISTINCT value FROM (SELECT {_OF_FILE} FROM documents) WHERE value <> '')
+SELECT value, path, line_number FROM lines JOIN v ON contains(line, value) WHERE NOT regexp_matches(path, '\\.(html|sarif)$|/scan\\.json$')""")
+def j09_trace_every_file(spark, d):
+    """A value of each file (a digest or how its text begins) in all files but reports."""
+    kept = R.traceable(derived(spark, d, _REPORTS))
+    spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("documents")
+    return R.trace_values(L.explode_lines(kept), spark.sql(f"SELECT {_OF_FILE} FROM documents"))
+
+
 @query(on_files(f"path, concat('AKIA', upper(substring({_MD5}, 1, 16))) AS access_key, concat({_MD5}, substring({_MD5}, 1, 8)) AS secret_key"))
 def v03_pair_credentials(spark, d):
     f = derived(spark, d, f"path, concat(content, chr(10), 'id = AKIA', upper(substring({_MD5}, 1, 16)), chr(10), 'aws_secret_access_key = \"', {_MD5}, substring({_MD5}, 1, 8), '\"') AS content")
@@ -331,10 +357,11 @@ def f10_merge_structured(spark, d):
 _CLOCK = "timestamp_seconds(1704067200 + doc_id * 60)"
 
 
-def _line_stream(spark, d):
+def _line_stream(spark, d, files_a_batch: int | None = None):
     """The documents as an unbounded table of lines, a minute apart."""
     spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("documents")
-    source = spark.readStream.schema(spark.table("documents").schema).parquet(f"{d}/documents.parquet*")
+    reader = spark.readStream.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else spark.readStream
+    source = reader.schema(spark.table("documents").schema).parquet(f"{d}/documents.parquet*")
     source.createOrReplaceTempView("arriving")
     made = spark.sql(FILES.replace("SELECT doc_id,", f"SELECT {_CLOCK} AS ts, doc_id,", 1).replace("FROM documents", "FROM arriving"))
     return made.select("ts", "path", F.explode(F.split("content", "\n")).alias("line"))
@@ -355,8 +382,11 @@ def x01_scan_stream(spark, d):
 
 @query(on_found("SELECT DISTINCT path, type_id, value FROM found"))
 def x02_first_seen(spark, d):
-    hits = W.scan_stream(_line_stream(spark, d), rules(spark))
-    return _drained(W.first_seen(hits, "3650 days").select("path", "type_id", "value"))
+    """Findings that no earlier micro-batch had, remembered in a table."""
+    hits = W.scan_stream(_line_stream(spark, d, 8), rules(spark)).select("fingerprint", "ts", "path", "type_id", "value")
+    at = new_path(spark, "stream")
+    hits.writeStream.foreachBatch(W.remember_new(f"{at}/known")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(hits.schema).parquet(f"{at}/known").select("path", "type_id", "value")
 
 
 @query(on_found("SELECT (1704067200 + doc_id * 60) // 3600 AS hour, sev AS severity, count(*) AS n FROM found JOIN files USING (path) GROUP BY ALL"))

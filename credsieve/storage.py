@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """In any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_intermediate(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application. Results that were not written or collected yet can't be read afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
