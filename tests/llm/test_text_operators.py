@@ -1,10 +1,12 @@
 """Token alignment, ranked search and line dedup against brute force, on odd rows, and on the other way of every size-dependent step."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -27,7 +29,17 @@ def tokens():
 
 
 def whole(tokens, text):
-    return tokens.encode([text])[0] if text else None
+    found = tokens.encode(text) if text else None
+    return found and tuple(x.tobytes() for x in found)
+
+
+@functools.cache
+def library():
+    """Ids of whole texts by the libraries themselves."""
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return lambda t: a.encode(" " + t, add_special_tokens=False).ids, b.encode
 
 
 @settings(max_examples=300, deadline=None)
@@ -37,20 +49,20 @@ def test_words_have_the_ids_of_whole_texts(parts):
     text = "".join(parts)
     text = text.encode("utf-8", "ignore").decode()
     got, want = t.of([text])[0], whole(t, text)
-    assert (got and tuple(x.astype("<i4").tobytes() for x in got)) == want
+    assert (got and tuple(x.tobytes() for x in got)) == want
+    if want:
+        libs = library()
+        assert [x.tolist() for x in got] == [f(text) for f in libs]
 
 
 def test_ids_on_real_texts(spark, tokens):
-    """Ids of whole texts by the libraries themselves."""
-    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    a.encode_special_tokens = True
-    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    a, b = library()
     texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() if r.text]
     kept = tokens.of(texts)
     assert sum(x is not None for x in kept) > 0.9 * len(texts)
     for text, ids in zip(texts, kept):
         if ids:
-            assert ids[0].tolist() == a.encode(" " + text, add_special_tokens=False).ids and ids[1].tolist() == b.encode(text)
+            assert ids[0].tolist() == a(text) and ids[1].tolist() == b(text)
 
 
 @settings(max_examples=300, deadline=None)
@@ -63,15 +75,13 @@ def test_stretches_are_cut_at_common_ends(steps):
         b += [at] * y
     at += 1
     a, b = [*a, at], [*b, at]
-    common, got = sorted(set(a) & set(b)), []
-    for i, p, j, q in align.stretches(a, b):
-        if p - i == q - j and a[i] == b[j]:
-            assert a[i:p] == b[j:q]
-            got += a[i:p]
-        else:
-            assert a[p - 1] == b[q - 1] and not set(a[i : p - 1]) & set(b[j : q - 1])
-            got.append(a[p - 1])
-    assert got == common
+    odd, i, j, got = align.irregular(np.array(a), np.array(b)), 0, 0, []
+    for k in range(0, len(odd) + 1, 4):
+        u, p, v, q = odd[k : k + 4] or (len(a), len(a), len(b), len(b))
+        assert a[i:u] == b[j:v] and (p - u, q - v) != (1, 1) and not set(a[u : p - 1]) & set(b[v : q - 1])
+        got += [*a[i:u], *a[p - 1 : p][: p - u]]
+        i, j = p, q
+    assert got == sorted(set(a) & set(b))
 
 
 def brute_alignment(tokens, rows):
@@ -155,8 +165,6 @@ def test_ranks_against_brute_force(spark, sizes):
 
 def test_search_skips(spark):
     """Windows that can't reach the best sums of short lists are skipped in the long lists, with exact results."""
-    import numpy as np
-
     rng, n = np.random.default_rng(1), 6400
     lists = [np.flatnonzero(rng.random(n) < p) for p in [0.9] * 10 + [0.01] * 4]
     doc, term = np.concatenate(lists), np.repeat(np.arange(14), [len(x) for x in lists])
