@@ -281,7 +281,7 @@ _REPORTS = "CASE doc_id % 16 WHEN 3 THEN concat('out/', doc_id, '.html') WHEN 5
 
 @query(f"""WITH files AS (SELECT {_REPORTS} FROM ({FILES})), {LINES}, v AS (SELECT DISTINCT value FROM (SELECT {_OF_FILE} FROM documents) WHERE value <> '')
 SELECT value, path, line_number FROM lines JOIN v ON contains(line, value) WHERE NOT regexp_matches(path, '\\.(html|sarif)$|/scan\\.json$')""")
-def j09_trace_every_file(spark, d):
+def j9_trace_every_file(spark, d):
     """A value of each file (a digest or how its text begins) in all files but reports."""
     kept = R.traceable(derived(spark, d, _REPORTS))
     spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("documents")

@@ -22,25 +22,36 @@ from credsieve.streaming import scan as W
 def test_windows(raw, size):
     got = D.windows(np.frombuffer(raw, np.uint8), size)
     assert got.tolist() == [int.from_bytes(raw[i : i + size], "little") for i in range(len(raw) - size + 1)]
-    assert ((D.slots(got, size) >= 0) & (D.slots(got, size) < D.FILTER_BITS)).all()
+    assert all(((x >= 0) & (x < D.FILTER_BITS)).all() for x in D.slots(got, size)) and len(list(D.slots(got, size))) == D.PROBES
 
 
 def test_containment_against_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abé日 =") for _ in range(n))
     texts = [word(rng.randint(0, 300)) for _ in range(400)] + ["", None, "x" * 70_000 + "needle in hay" + "y" * 9, "a common prefix 1"] * 2
-    values = [t[(i := rng.randint(0, len(t))) : i + rng.randint(1, 40)] for t in texts[:300]] + ["needle in hay", "x" * 9, "x" * 10, "y", "", None, "nowhere at all", "a common prefix 1", "a common prefix 2", "a common prefix 12"]
+    values = [t[(i := rng.randint(0, len(t))) : i + rng.randint(1, 40)] for t in texts[:300]] + ["needle in hay", "x" * 9, "x" * 10, "y", "xy", "x" * 69_999, "", None, "nowhere at all", "a common prefix 1", "a common prefix 2", "a common prefix 12"]
+    texts.append("x" * D.PIECE + "needle in hay" + "x" * D.PIECE + "needle in hay" + "y" * 40)  # over several pieces
     rows = [(i, t) for i, t in enumerate(texts)]
     got = D.contained(spark.createDataFrame([(*r, 1) for r in rows], "id int, text string, value2 int"), spark.createDataFrame([(v,) for v in values * 2], "value string"))
     assert sorted((r.id, r.value) for r in got.collect()) == sorted((i, v) for i, t in rows for v in set(values) if v and t is not None and v in t)
     assert "MapInArrow" in got._jdf.queryExecution().toString()
 
 
+@given(st.binary(min_size=70, max_size=90), st.sampled_from(D.GRAMS[1:]), st.integers(0, 30))
+def test_long_windows(raw, size, at):
+    data = np.frombuffer(raw, np.uint8)
+    got = D.windows(data, size)
+    assert len(got) == len(raw) - size + 1 and got[at] == D.windows(data[at : at + size], size)[0]
+    assert len(set(got.tolist())) == len({raw[i : i + size] for i in range(len(got))})
+
+
 def test_values_stand_by_their_rarest_gram(spark):
-    values = [f"postgresql://admin:{i:04d}@db" for i in range(50)] + ["password Zq9!kk"]
+    values = [f"postgresql://admin:{i:04d}@db" for i in range(50)] + ["password Zq9!7K", "ab", "x" * 40]
     got = {r.value: r for r in D.gram_index(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
-    gram = {v: r.gram.to_bytes(8, "little", signed=True).decode() for v, r in got.items()}
-    assert all(re.search(r"\d{4}", g) for v, g in gram.items() if v.startswith("post")) and "Z" in gram["password Zq9!kk"] and set(got) == set(values)
+    assert set(got) == set(values) and len({r.gram for r in got.values()}) == len(values)
+    assert [got[v]["size"] for v in (values[0], *values[-3:])] == [24, 12, 2, 32]
+    wanted = D.windows(np.frombuffer(b"password Zq9!7K", np.uint8), 12)[3:].view(np.int64)
+    assert got["password Zq9!7K"].gram in wanted, "with the fewest lower-case letters"
 
 
 def test_reports_are_not_traced(spark):
