@@ -77,19 +77,37 @@ def relativize(path: Column, root: str) -> Column:
     return F.regexp_replace(path, "^" + re.escape(root.rstrip("/")) + "/", "")
 
 
+#: The wildcards of a glob: ** with the slash after it, * and ?.
+_WILD = re.compile(r"(\*\*+/?|\*|\?)")
+
+
+def split_glob(pattern: str) -> tuple[str, bool]:
+    """A glob's body without the ** / before it that any suffix of a path stands for, and whether it is negated (by an odd number of !)."""
+    body = pattern.lstrip("!")
+    return body.removeprefix("**/"), (len(pattern) - len(body)) % 2 == 1
+
+
 def glob_to_regex(pattern: str) -> tuple[str, bool]:
-    """An anchored regular expression for a glob, and whether it is negated. * stays inside a directory, ** crosses them, ? is one character; a pattern without / is for the file name, one with / for any suffix of the path."""
-    negated = pattern.startswith("!")
-    body = pattern[negated:]
-    out, i = "", 0
-    while i < len(body):
-        if body.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif body.startswith("**", i):
-            out, i = out + ".*", i + 2
-        else:
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(body[i], re.escape(body[i])), i + 1
-    return ("(?s)(?:^|/)" + out.removeprefix("/") + "$"), negated
+    """An anchored regular expression for a glob, and whether it is negated. * stays inside a directory, ** crosses them (and takes the slash after it along), ? is one character; a pattern without / is for the file name, one with / for the path or any suffix of it after a slash."""
+    body, negated = split_glob(pattern)
+    across = ".*" if "/" in pattern else "[^/]*"
+    out = "".join(across if part.startswith("**") else {"*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part)) for part in _WILD.split(body))
+    return "(?s)(?:^|/)" + out + "\\z", negated
+
+
+#: What marked puts before and after a path.
+EDGES = "/", "\0"
+
+
+def marked(path: Column) -> Column:
+    """A path between EDGES, so that a glob's first and last literal runs are bound to a segment's start and the path's end."""
+    return F.concat(F.lit(EDGES[0]), path, F.lit(EDGES[1]))
+
+
+def literal_runs(pattern: str) -> list[str]:
+    """Strings that marked paths hold where the glob's body matches; never empty, as the edges are among them."""
+    runs = _WILD.split(EDGES[0] + split_glob(pattern)[0] + EDGES[1])[::2]
+    return [r for r in runs if r]
 
 
 def glob_match(path: Column, pattern: str) -> Column:

@@ -23,6 +23,8 @@ AzureStorageKey C95 accountkey= (?i)DefaultEndpointsProtocol=https;AccountName=.
 AzureConnectionString H85 server=,source= (?i)(?:Server|Data Source)=.+?;(?:User ID|UID)=.+?;(?:Password|PWD)=.+?;
 GitHubPat C98 ghp_ ghp_[0-9a-zA-Z]{30,40}
 GitHubOauth C98 gho_ gho_[0-9a-zA-Z]{30,40}
+GitHubToken C80 github (?i)github.{0,20}['"][0-9a-zA-Z]{30,45}['"]
+HerokuApiKey H90 heroku (?i)heroku.{0,20}[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}
 GitLabPat C98 glpat- glpat-[0-9a-zA-Z_-]{20}
 StripeApiKey C98 sk_live_ sk_live_[0-9a-zA-Z]{24,}
 StripeRestrictedKey C98 rk_live_ rk_live_[0-9a-zA-Z]{24,}
@@ -194,8 +196,6 @@ GenericCredential H70 access_token,auth_token,bearer_token (?i)(?:access_token|a
 """
 # Types of the keyword template, as keyword:type:severity and confidence:value pattern.
 KEYWORDS = """
-heroku:HerokuApiKey:H90:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}
-github:GitHubToken:C80:[0-9a-zA-Z]{30,45}
 mailgun:MailgunApiKey:H85:[0-9a-f]{32}
 cohere:CohereApiKey:H85:[a-zA-Z0-9]{40}
 datadog:DatadogApiKey:H85:[0-9a-f]{32}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..functions import text as X
+from .ignore import SEEN, allowed_findings, ignored_paths
 
 
 def min_confidence(found: DataFrame, least: float = 0.6) -> DataFrame:
@@ -113,7 +115,11 @@ def allowed(rule: dict) -> Column:
     if rule.get("paths"):
         checks.append(ignored_by_glob(F.col("path"), rule["paths"]))
     if rule.get("value_regex"):
-        checks.append(F.col("value").rlike(rule["value_regex"]))
+        try:
+            re.compile(rule["value_regex"])
+            checks.append(F.col("value").rlike(rule["value_regex"]))
+        except re.error:  # an invalid expression lets nothing pass
+            checks.append(F.lit(False))
     if rule.get("severities"):
         checks.append(F.col("severity").isin(*[s.upper() for s in rule["severities"]]))
     for c in checks:
@@ -121,15 +127,30 @@ def allowed(rule: dict) -> Column:
     return F.lit(False) if out is None else out
 
 
-def suppress(found: DataFrame, globs: Iterable[str] = (), fingerprints: DataFrame | None = None, allow: Iterable[dict] = ()) -> DataFrame:
-    """Adds ignored and ignore_reason: inline marker, ignore file, fingerprint, or allowlist."""
+def suppress(found: DataFrame, globs: Iterable[str] | DataFrame = (), fingerprints: DataFrame | None = None, allow: Iterable[dict] | DataFrame = ()) -> DataFrame:
+    """Adds ignored and ignore_reason: inline marker, ignore file, fingerprint, or allowlist.
+
+    A few globs or rules can be given as they are and become part of one expression; as tables (glob; columns of
+    ignore.ALLOW) they can be any number.
+    """
     out = found
     if fingerprints is not None:
         out = out.join(fingerprints.select(F.col("value").alias("fingerprint"), F.lit(True).alias("_known")).distinct(), "fingerprint", "left")
     else:
         out = out.withColumn("_known", F.lit(None).cast("boolean"))
-    any_rule = F.lit(False)
-    for rule in allow:
-        any_rule = any_rule | allowed(rule)
-    reason = F.when(X.inline_ignored(F.col("line")), "inline").when(ignored_by_glob(F.col("path"), globs), "path").when(F.col("_known"), "fingerprint").when(any_rule, "allowlist")
-    return out.withColumn("ignore_reason", reason).withColumn("ignored", F.col("ignore_reason").isNotNull()).drop("_known")
+    if isinstance(globs, DataFrame):
+        out, by_path = out.join(ignored_paths(found, globs).withColumn("_placed", F.lit(True)), "path", "left"), F.col("_placed")
+    else:
+        out, by_path = out.withColumn("_placed", F.lit(None).cast("boolean")), ignored_by_glob(F.col("path"), globs)
+    if isinstance(allow, DataFrame):
+        right = allowed_findings(found, allow).select(*[F.col(c).alias(f"_{c}") for c in SEEN], F.lit(True).alias("_allowed"))
+        on = F.lit(True)
+        for c in SEEN:
+            on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        out, by_rule = out.join(right, on, "left").drop(*[f"_{c}" for c in SEEN]), F.col("_allowed")
+    else:
+        out, by_rule = out.withColumn("_allowed", F.lit(None).cast("boolean")), F.lit(False)
+        for rule in allow:
+            by_rule = by_rule | allowed(rule)
+    reason = F.when(X.inline_ignored(F.col("line")), "inline").when(by_path, "path").when(F.col("_known"), "fingerprint").when(by_rule, "allowlist")
+    return out.withColumn("ignore_reason", reason).withColumn("ignored", F.col("ignore_reason").isNotNull()).drop("_known", "_placed", "_allowed")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as X
+from ..operators import ignore as I
 from ..operators import match as M
 from ..operators import report as R
 from ..operators import rules as U
@@ -266,6 +267,35 @@ def j03_ignored_fingerprints(spark, d):
     return B.suppress(f, (), known).select("path", "line_number", "type_id", "ignore_reason")
 
 
+#: Every file gives the ignore list a glob, of six forms; those of 3 fit no path.
+_GLOBS = """CASE doc_id % 6 WHEN 0 THEN concat(doc_id, '.*') WHEN 1 THEN concat('docs/', doc_id, '.md') WHEN 2 THEN concat('/', source, '/**/', doc_id, '.py')
+ WHEN 3 THEN concat('nowhere/', doc_id, '.*') WHEN 4 THEN concat('**/config/*', doc_id, '.yml') ELSE concat('t?sts/', doc_id, '.??') END AS glob"""
+#: The files that one of these globs fits; forms 2 and 4 fit names that end like theirs.
+_IGNORED = f"""WITH files AS ({FILES}), tails AS (SELECT path, source, doc_id, CAST(right(concat('', doc_id), k) AS BIGINT) AS g, k FROM (SELECT *, unnest(generate_series(1, len(concat('', doc_id)))) AS k FROM files)),
+fits AS (SELECT path FROM files WHERE doc_id % 6 = 0 OR doc_id % 6 = 1 AND ends_with(path, concat('docs/', doc_id, '.md')) OR doc_id % 6 = 5 AND path LIKE '%/tests/%'
+ UNION SELECT t.path FROM tails t JOIN documents d ON d.doc_id = t.g AND len(concat('', d.doc_id)) = k
+ WHERE d.doc_id % 6 = 2 AND t.source = d.source AND ends_with(t.path, '.py') OR d.doc_id % 6 = 4 AND t.path LIKE '%/config/%' AND ends_with(t.path, '.yml'))"""
+
+
+@query(_IGNORED + " SELECT DISTINCT path FROM fits")
+def j4_ignore_list(spark, d):
+    """As many globs as files, as a table."""
+    return I.ignored_paths(files(spark, d).select("path"), derived(spark, d, _GLOBS))
+
+
+_FILE = f"SELECT *, {_MD5} AS h, concat('', doc_id) AS own FROM ({FILES})"
+
+
+@query(on_found(f"""SELECT path, line_number, type_id, CASE WHEN contains(line, 'nosecret') THEN 'inline'
+ WHEN doc_id % 8 IN (0, 1) AND doc_id % 3 <> 1 AND contains(lower(value), substring(h, 1, 12)) THEN 'allowlist'
+ WHEN doc_id % 8 = 2 AND severity IN ('CRITICAL', 'HIGH') THEN 'allowlist' END AS ignore_reason FROM found JOIN ({_FILE}) USING (path)"""))
+def j5_allow_rules(spark, d):
+    """A rule a file: by expression (invalid where the id is 1 more than a multiple of 3), by path and severity, by nothing, or by a type that isn't there."""
+    rules_sql = f"""IF(doc_id % 8 = 4, array('NoSuchType'), array()) AS secret_types, IF(doc_id % 8 = 2, array(concat(doc_id, '.*'), path), array()) AS paths,
+ CASE WHEN doc_id % 8 IN (0, 1) THEN concat('(?i)', substring({_MD5}, 1, 12), IF(doc_id % 3 = 1, '[', '')) END AS value_regex, IF(doc_id % 8 = 2, array('critical', 'High'), array()) AS severities"""
+    return B.suppress(found(spark, d), (), None, derived(spark, d, rules_sql)).select("path", "line_number", "type_id", "ignore_reason")
+
+
 # ---- traces, verification ----
 
 

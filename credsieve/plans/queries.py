@@ -209,7 +209,7 @@ def p10_scannable(spark, d):
     return lines(spark, d).filter(X.scannable(F.col("line"))).groupBy("path").agg(F.count("*").alias("scannable"))
 
 
-@query(on_files("path, regexp_matches(path, '(?:^|/)tests/[^/]*\\.py$') AS tests_py, NOT regexp_matches(path, '(?:^|/)[^/]*\\.md$') AS not_md, regexp_matches(path, '(?:^|/)src0/(?:.*/)?[^/]*\\.yml$') AS deep"))
+@query(on_files("path, regexp_matches(path, '(?:^|/)tests/[^/]*\\.py$') AS tests_py, NOT regexp_matches(path, '(?:^|/)[^/]*\\.md$') AS not_md, regexp_matches(path, '(?:^|/)src0/.*[^/]*\\.yml$') AS deep"))
 def p14_glob_match(spark, d):
     p = F.col("path")
     return files(spark, d).select("path", P.glob_match(p, "tests/*.py").alias("tests_py"), P.glob_match(p, "!*.md").alias("not_md"), P.glob_match(p, "src0/**/*.yml").alias("deep"))
