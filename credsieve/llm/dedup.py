@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, fresh
 
-#: A hot text's rows are combined under at least so many salts.
+#: The rows of a text are combined under at least so many salts.
 SALTS = 32
 #: A text is hot from so many rows on, or 1 / MOST_HOT of the table: no more texts than that can be, which bounds what is broadcast.
 HOT_ROWS, MOST_HOT = 1 << 10, 1 << 16
@@ -41,21 +41,21 @@ def _by_heat(rows: DataFrame, digest: str, salts: int | None, hot_rows: int | No
     return few, many, salts or salts_for(n)
 
 
-def _combined(many: DataFrame, salts: int) -> DataFrame:
-    """doc_id, digest, _mark, _text of hot digests -> keep_id and group_size of each text: inside each task, per salt, then over the salts."""
+def _combined(rows: DataFrame, salts: int) -> DataFrame:
+    """doc_id, digest, _mark, _text -> keep_id and group_size of each text: inside each task, per salt, then over the salts."""
     by = ["digest", "_mark", "_text"]
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).groupBy(*by, "_salt").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).groupBy(*by, "_salt").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return salted.groupBy(*by).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest=sha256, salts: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, digest.
 
-    Rows are combined by digest and full content, first inside each task (Spark's partial aggregation), then per salt of a
-    digest, then over the salts. Only hot digests need more than one salt (see HOT_ROWS, salts_for; rows are counted by
-    digest first), so that only their salt winners are shuffled once more. The row with the largest id stays; of repeated
-    rows with that id exactly one is marked kept. Rows find their group again by digest and a second hash, and by content
-    too where two texts share both; those of hot digests by a broadcast of bounded size.
+    All rows are combined by digest and full content in three stages: inside each task (Spark's partial aggregation), per
+    salt of a digest, then over the salts. The row with the largest id stays; of repeated rows with that id exactly one is
+    marked kept. Rows find their group again by digest and a second hash, and by content too where two texts share both.
+    Only in this last step does heat matter: rows of hot digests (see HOT_ROWS), which no task could take alone, stay where
+    they are and get their group by a broadcast of bounded size.
 
     Nulls: a null text is an empty text, and a null id sorts below all others (a group of null ids keeps one of them).
     Texts of any length are compared whole. An empty table gives an empty result. Other columns are ignored, whatever
@@ -63,22 +63,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_text"))
     rows = texts.withColumns({"digest": digest(F.col("_text")), "_mark": F.xxhash64("_text")})
-    few, many, salts = _by_heat(rows, "digest", salts, hot_rows)
+    n = rows.count()
     by = ["digest", "_mark", "_text"]
-    once = few.groupBy(*by).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    merged = _combined(many, salts)
-
-    def found(own: DataFrame, groups: DataFrame, bounded: bool) -> DataFrame:
-        slim, on = cut(groups.drop("_text")), by[:2]
-        if slim.groupBy(*on).count().filter("count > 1").isEmpty():
-            slim = F.broadcast(slim) if bounded else slim
-        else:  # one digest and second hash, several texts: content decides
-            slim, on = cut(groups), by
+    merged = _combined(rows, salts or salts_for(n))
+    groups, own, on = cut(merged.drop("_text")), cut(rows.drop("_text")), by[:2]
+    if not groups.groupBy(*on).count().filter("count > 1").isEmpty():  # one digest and second hash, several texts: content decides
+        groups, own, on = cut(merged), rows, by
+    told = groups.groupBy(F.col("digest").alias("_hot")).agg(F.sum("group_size").alias("_n")).filter(F.col("_n") >= (hot_rows or max(HOT_ROWS, n // MOST_HOT)))
+    hot = F.broadcast(cut(told.select("_hot")))
+
+    def found(how: str) -> DataFrame:
+        rows_of, groups_of = (t.join(hot, F.col("digest") == F.col("_hot"), how) for t in (own, groups))
         twin = Window.partitionBy("digest", "_mark", "doc_id").orderBy("keep_id")
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(twin) == 1)
-        return own.join(slim, on).select("doc_id", "keep_id", "group_size", "digest", "_mark").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
+        few = how == "left_semi" and on == by[:2]
+        joined = rows_of.join(F.broadcast(groups_of) if few else groups_of, on).select("doc_id", "keep_id", "group_size", "digest", "_mark")
+        return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
-    return found(few, once, False).union(found(many, merged, True))
+    return found("left_anti").union(found("left_semi"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest=sha256, salts: int | None = None, hot_rows: int | None = None) -> DataFrame:

@@ -63,6 +63,14 @@ def test_dedup_with_colliding_digests(spark, hot):
         assert {(r.keep_id, r.group_size) for r in got} == {(k, sum(x == k for _, x in want)) for k in {x for _, x in want}}
 
 
+def test_every_row_enters_the_salted_stage(spark, monkeypatch):
+    seen, combined = [], dedup._combined
+    monkeypatch.setattr(dedup, "_combined", lambda rows, salts: seen.append((rows.count(), salts)) or combined(rows, salts))
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = {r.keep_id: r.group_size for r in dedup.exact_groups(d).filter("kept").collect()}
+    assert seen == [(d.count(), dedup.SALTS)] and sum(sizes.values()) == d.count() and max(sizes.values()) > 1
+
+
 @pytest.mark.parametrize("hot", [None, 1, 9])
 def test_drop_copies_against_brute_force(spark, hot):
     """Hot and cool digests, colliding ones too: of texts equal but for A-Z one row with the largest id, repeated rows and null ids included."""
