@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-import io
+import contextlib
 import re
 import tarfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 
 MAX_FILE, MAX_OBJECT, MAX_ENTRY = 1 << 20, 5 << 20, 2 << 20
+#: Archives are dealt to tasks in slices of so many bytes.
+SLICE = 64 << 20
+#: How gzip, bzip2 and xz files start.
+PACKED = (b"\x1f\x8b", b"BZh", b"\xfd7zXZ")
+ENTRY = pa.schema([("path", pa.string()), ("entry", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("content", pa.binary())])
+FILLED = pa.schema([("entry", pa.string()), ("content", pa.binary()), ("length", pa.int64())])
 # Image entries that are the system's, not the application's.
 SYSTEM_PREFIXES = ("usr/share/doc/", "usr/share/man/", "usr/share/locale/", "usr/share/zoneinfo/", "usr/share/i18n/", "usr/share/terminfo/", "usr/lib/", "usr/lib64/", "lib/", "lib64/", "proc/", "sys/", "dev/", "run/", "var/cache/", "var/log/")
 CERTIFICATES = r"^etc/ssl/certs/ca-(certificates|bundle)\.crt$|^etc/ssl/cert\.pem$|^etc/pki/tls/certs/ca-bundle(\.trust)?\.crt$|^etc/pki/ca-trust/extracted/|^usr/share/ca-certificates/|^etc/ca-certificates/"
@@ -46,23 +56,97 @@ def read_objects(spark: SparkSession, uri_prefix: str, max_bytes: int = MAX_OBJE
     return text_only(found.filter(~F.col("path").endswith("/")).select(F.regexp_replace("path", "^s3a://", "s3://").alias("path"), "content", "length"))
 
 
-def read_image_tar(spark: SparkSession, tar_glob: str, image: str, max_bytes: int = MAX_ENTRY) -> DataFrame:
-    """Regular entries of exported image file systems; one row per entry, system folders and certificate stores left out."""
+def open_seekable(uri: str) -> pa.NativeFile:
+    """A file that is read from any place on, in a local folder or a store that Arrow reads."""
+    scheme, colon, path = uri.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + path.lstrip("/") if colon else uri)
+    store, path = fs.FileSystem.from_uri(f"{scheme}:{quote(path)}")
+    return store.open_input_file(path)
 
-    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for content in pdf["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
-                    for member in tar:
-                        if member.isfile() and 0 < member.size <= max_bytes:
-                            yield pd.DataFrame({"entry": [member.name.removeprefix("./")], "content": [tar.extractfile(member).read()], "length": [member.size]})
 
-    rows = spark.read.format("binaryFile").load(tar_glob).select("content").mapInPandas(entries, "entry string, content binary, length long")
+def image_entries(archives: DataFrame, max_bytes: int = MAX_ENTRY, opened: Callable[[str], BinaryIO] = open_seekable) -> DataFrame:
+    """path, entry, at, size, content of the regular entries of 1 to max_bytes bytes in tar archives, named by the column path.
+
+    Only headers are read, by seeking from one to the next; at is where an entry's bytes start. What can't be read from a
+    place on has its content here and no place: entries of compressed archives, which are read as a stream, and sparse
+    entries. An archive that breaks off gives what comes before; one that is no archive, or empty, gives nothing.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b["path"].to_pylist():
+                rows, held = [], 0
+                with contextlib.closing(opened(path)) as file:
+                    packed = file.read(6).startswith(PACKED)
+                    file.seek(0)
+                    try:
+                        with tarfile.open(fileobj=file, mode="r|*" if packed else "r:") as tar:
+                            for m in tar:
+                                tar.members = []  # tarfile would keep every header
+                                if not m.isfile() or not 0 < m.size <= max_bytes:
+                                    continue
+                                content = tar.extractfile(m).read() if packed or m.issparse() else None
+                                rows.append((path, m.name.removeprefix("./"), None if content is not None else m.offset_data, m.size, content))
+                                held += len(content or b"") + 200
+                                if held > SLICE // 4:
+                                    yield from _batch(rows, ENTRY)
+                                    rows, held = [], 0
+                    except (tarfile.ReadError, EOFError, zlib.error):
+                        pass
+                yield from _batch(rows, ENTRY)
+
+    return archives.select("path").mapInArrow(listed, "path string, entry string, at long, size long, content binary")
+
+
+def read_entries(entries: DataFrame, opened: Callable[[str], BinaryIO] = open_seekable) -> DataFrame:
+    """entry, content, length: the bytes of listed entries. Slices of SLICE bytes of each archive are dealt to all tasks, and read in order."""
+    spark = entries.sparkSession
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, file = None, None
+        for b in batches:
+            rows, held = [], 0
+            for r in b.to_pylist():
+                if r["at"] is not None:
+                    if r["path"] != last:
+                        if file:
+                            file.close()
+                        last, file = r["path"], opened(r["path"])
+                    file.seek(r["at"])
+                    r["content"] = file.read(r["size"])
+                rows.append((r["entry"], r["content"], r["size"]))
+                held += r["size"]
+                if held > SLICE // 4:
+                    yield from _batch(rows, FILLED)
+                    rows, held = [], 0
+            yield from _batch(rows, FILLED)
+        if file:
+            file.close()
+
+    place = F.coalesce(F.floor(F.col("at") / SLICE), F.xxhash64("entry"))
+    dealt = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", place).sortWithinPartitions("path", "at")
+    return dealt.mapInArrow(filled, "entry string, content binary, length long")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema)], schema=schema)
+
+
+def read_image_tar(spark: SparkSession, tar_glob: str, image: str, max_bytes: int = MAX_ENTRY, opened: Callable[[str], BinaryIO] = open_seekable) -> DataFrame:
+    """Regular entries of exported image file systems; one row per entry, system folders and certificate stores left out.
+
+    An archive of any size is read by many tasks: one lists its headers, and all read the entries that are wanted, so that
+    neither a row nor a task holds an archive, and what is left out is never read. Compressed archives are streamed by one
+    task each.
+    """
+    entries = image_entries(spark.read.format("binaryFile").load(tar_glob).select("path"), max_bytes, opened)
     system = F.lit(False)
     for prefix in SYSTEM_PREFIXES:
         system = system | F.col("entry").startswith(prefix)
-    kept = rows.filter(~system & ~F.col("entry").rlike(CERTIFICATES))
-    return text_only(kept.select(F.concat(F.lit(f"docker://{image}/"), "entry").alias("path"), "content", "length"))
+    kept = entries.filter(~system & ~F.col("entry").rlike(CERTIFICATES) & ~P.is_binary_name(F.col("entry")))
+    return text_only(read_entries(kept, opened).select(F.concat(F.lit(f"docker://{image}/"), "entry").alias("path"), "content", "length"))
 
 
 def from_text(df: DataFrame, text_col: str, label: str = "<stdin>") -> DataFrame:

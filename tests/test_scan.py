@@ -5,6 +5,7 @@ import json
 import random
 import re
 import tarfile
+from collections import Counter
 
 import duckdb
 from hypothesis import HealthCheck, given, settings
@@ -183,6 +184,53 @@ def test_single_files_objects_and_images(spark, tmp_path):
     assert [r.path for r in L.read_image_tar(spark, str(tmp_path / "i.tar"), "img").collect()] == ["docker://img/app/.env"]
 
 
+def test_images_are_split(spark, tmp_path):
+    """An archive of over 2 GB (a hole in it) is read by several tasks; compressed, broken, empty and foreign files, long names, links, sparse and system entries have their defined results."""
+
+    def add(tar, name, data, **more):
+        info = tarfile.TarInfo(name)
+        info.size = len(data)
+        for k, v in more.items():
+            setattr(info, k, v)
+        tar.addfile(info, io.BytesIO(data))
+
+    deep = "app/" + "d/" * 120 + "é x.txt"
+    with open(tmp_path / "big one.tar", "wb") as out:
+        for i in range(40):  # headers are written by hand around the holes
+            info = tarfile.TarInfo(f"data/hole{i}.txt")
+            info.size = 64 << 20
+            out.write(info.tobuf())
+            out.seek(info.size, 1)
+            body = f"key {i}".encode()
+            info = tarfile.TarInfo(f"./app/{i}.txt")
+            info.size = len(body)
+            out.write(info.tobuf() + body.ljust(512, b"\0"))
+        out.write(b"\0" * 1024)
+    got = L.read_image_tar(spark, str(tmp_path / "big*.tar"), "img").select("path", "content", "length", F.spark_partition_id().alias("task")).collect()
+    assert {(r.path, r.content, r.length) for r in got} == {(f"docker://img/app/{i}.txt", f"key {i}", len(f"key {i}")) for i in range(40)}
+    assert len({r.task for r in got}) > 3
+
+    (tmp_path / "odd").mkdir()
+    for kind in ("", "gz", "bz2", "xz"):
+        with tarfile.open(tmp_path / "odd" / f"a{kind}.tar", f"w:{kind}") as tar:
+            add(tar, deep, b"deep")
+            add(tar, f"app/{kind}.env", f"K={kind}".encode())
+            add(tar, "app/empty", b"")
+            add(tar, "app/twice", b"1")
+            add(tar, "app/twice", b"1")
+            add(tar, "usr/lib/x", b"left out")
+            add(tar, "app/link", b"", type=tarfile.SYMTYPE, linkname="app/twice")
+            add(tar, "app/large", b"x" * (L.MAX_ENTRY + 1))
+    whole = (tmp_path / "odd" / "a.tar").read_bytes()
+    (tmp_path / "odd" / "b.tar").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "odd" / "c.tar").write_bytes(b"")
+    (tmp_path / "odd" / "d.tar").write_bytes(b"no archive " * 100)
+    rows = Counter((r.path.removeprefix("docker://i/"), r.content) for r in L.read_image_tar(spark, str(tmp_path / "odd" / "*.tar"), "i").collect())
+    assert rows == Counter({(deep, "deep"): 5, ("app/twice", "1"): 10, ("app/.env", "K="): 2, **{(f"app/{k}.env", f"K={k}"): 1 for k in ("gz", "bz2", "xz")}})
+    (tmp_path / "cut.tar").write_bytes((tmp_path / "odd" / "agz.tar").read_bytes()[:200])
+    assert {(r.path, r.content) for r in L.read_image_tar(spark, str(tmp_path / "cut.tar"), "i").collect()} <= {(f"docker://i/{p}", c) for p, c in rows}
+
+
 def test_long_history_lines_stay_whole(spark):
     long = "x" * (1 << 20) + "end"
     patch = f"commit abc1234\nAuthor: A\nDate: 2024-01-02 03:04:05\n\n--- a/x\n+++ b/x\n@@ -0,0 +1 @@\n+{long}"
