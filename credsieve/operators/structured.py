@@ -6,12 +6,13 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
-from ..storage import cut
 
 
 def structured_format(path: Column, content: Column) -> Column:
@@ -25,32 +26,68 @@ def structured_format(path: Column, content: Column) -> Column:
     )
 
 
+class _Number(float):
+    """A number that keeps how it was written."""
+
+    def __new__(cls, text: str):
+        out = super().__new__(cls, text)
+        out.text = text
+        return out
+
+
+def _no_constant(name: str):
+    raise ValueError(name)  # NaN and Infinity aren't JSON
+
+
+def _walk(text: str, max_depth: int | None) -> Iterator[tuple[str, str, str]]:
+    """json_path, parent and value of every leaf, in document order, by a stack of what is left to visit."""
+    try:
+        top = json.loads(text, parse_float=_Number, parse_int=lambda t: int(t) if len(t) < 4000 else _Number(t), parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        return
+    stack = [(top, "", "", 0)]
+    while stack:
+        v, path, parent, depth = stack.pop()
+        if isinstance(v, dict | list):
+            if depth == max_depth:
+                yield path, parent, json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+            elif isinstance(v, dict):
+                stack += [(x, f"{path}.{k}" if path else k, k, depth + 1) for k, x in reversed(v.items())]
+            else:
+                stack += [(v[i], f"{path}[{i}]", parent, depth + 1) for i in range(len(v) - 1, -1, -1)]
+        elif v is not None:
+            yield path, parent, v if isinstance(v, str) else v.text if isinstance(v, _Number) else json.dumps(v)
+
+
 def json_leaves(files: DataFrame, text_col: str = "content", key_col: str = "path", max_depth: int | None = None) -> DataFrame:
-    """key_col, json_path (a.b[0]), parent (last key), value of every string leaf.
+    """key_col, json_path (a.b[0]), parent (last key), value of every leaf that isn't null.
 
-    One level of all documents per step, each written to the shared folder, until no document goes deeper; the steps are as
-    many as the deepest document has levels. What lies deeper than max_depth, if given, is one leaf, its JSON text. Text
-    that isn't JSON gives no rows.
+    Each document is parsed once and walked once, in one pass without a shuffle, however deep it is. Numbers stand as they
+    are written; of a repeated key the last value counts. What lies deeper than max_depth, if given, is one leaf, its JSON
+    text. Text that isn't JSON, or is nested too deep to be parsed (thousands of levels), gives no rows, and so does null.
     """
-    level, depth, out = cut(files.select(F.col(key_col), F.try_parse_json(text_col).alias("_v"), F.lit("").alias("json_path"), F.lit("").alias("parent")).filter(F.col("_v").isNotNull())), 0, None
-    kind = F.schema_of_variant("_v")
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    while True:
-        last = max_depth is not None and depth >= max_depth
-        value = F.when(nested, F.to_json("_v")).otherwise(F.try_variant_get("_v", "$", "string"))
-        leaf = level.filter((F.lit(last) | ~nested) & (kind != "VOID")).select(key_col, "json_path", "parent", value.alias("value"))
-        out = leaf if out is None else out.union(leaf)
-        inner = level.filter(nested)
-        if last or inner.isEmpty():
-            return out
-        level, depth = cut(
-            inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(
-                key_col,
-                F.col("value").alias("_v"),
-                F.when(F.col("key").isNull(), F.concat("json_path", F.lit("["), F.col("pos"), F.lit("]"))).when(F.col("json_path") == "", F.col("key")).otherwise(F.concat("json_path", F.lit("."), "key")).alias("json_path"),
-                F.coalesce("key", "parent").alias("parent"),
-            )
-        ), depth + 1
+    key = files.schema[key_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, leaves, held = [], [], 0
+
+            def flushed(keys: pa.Array) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in zip(*leaves, strict=True))], [key_col, "json_path", "parent", "value"])
+
+            for i, text in enumerate(b["_text"]):
+                for leaf in _walk(text.as_py() or "", max_depth):
+                    at.append(i)
+                    leaves.append(leaf)
+                    held += len(leaf[0]) + len(leaf[2])
+                    if held > 8 << 20:
+                        yield flushed(b[key_col])
+                        at, leaves, held = [], [], 0
+            if leaves:
+                yield flushed(b[key_col])
+
+    shape = StructType([key, *StructType.fromDDL("json_path string, parent string, value string").fields])
+    return files.select(F.col(key_col), F.col(text_col).alias("_text")).mapInArrow(run, shape)
 
 
 def candidates(leaves: DataFrame) -> DataFrame:
@@ -133,7 +170,7 @@ def cfn_values(files: DataFrame) -> DataFrame:
     """String leaves of a template's resources and its parameters' defaults. Templates are JSON, or else the first document of YAML."""
     is_json = F.try_parse_json("content").isNotNull()
     other = yaml_documents(files.filter(~is_json)).filter("doc = 0").select("path", F.col("json").alias("content"))
-    leaves = json_leaves(cut(files.filter(is_json).select("path", "content").union(other)))
+    leaves = json_leaves(files.filter(is_json).select("path", "content").union(other))
     return leaves.filter(F.col("json_path").startswith("Resources.") | F.col("json_path").rlike(r"^Parameters\.[^.]+\.Default$"))
 
 

@@ -388,10 +388,13 @@ def r01_remediation_plan(spark, d):
 # ---- structured formats ----
 
 
-@query("SELECT event_id, 'k' AS json_path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+@query("""SELECT event_id, concat('[0].', repeat('n.', CAST(event_id % 40 AS INT)), 'k') AS json_path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL
+UNION ALL SELECT event_id, '[1][0].t', event_type FROM events WHERE props IS NOT NULL AND event_type IS NOT NULL""")
 def f03_json_leaves(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return S.json_leaves(e, "props", "event_id", 3).select("event_id", "json_path", "value")
+    """Properties below up to 40 levels, beside an array of one value."""
+    deep = F.expr("concat('[', repeat('{\"n\":', CAST(event_id % 40 AS INT)), props, repeat('}', CAST(event_id % 40 AS INT)), ',[', to_json(named_struct('t', event_type)), ']]')")
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", deep.alias("tree"))
+    return S.json_leaves(e, "tree", "event_id").select("event_id", "json_path", "value")
 
 
 @query("SELECT doc_id, concat(source, lang, doc_id, '-value') AS decoded FROM documents")

@@ -115,6 +115,8 @@ def read_entries(entries: DataFrame, opened: Callable[[str], BinaryIO] = open_se
                         last, file = r["path"], opened(r["path"])
                     file.seek(r["at"])
                     r["content"] = file.read(r["size"])
+                    if len(r["content"]) < r["size"]:  # the archive breaks off here
+                        continue
                 rows.append((r["entry"], r["content"], r["size"]))
                 held += r["size"]
                 if held > SLICE // 4:

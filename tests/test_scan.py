@@ -170,6 +170,17 @@ def test_yaml_templates_and_deep_json(spark):
     assert cut["d"].json_path == ".".join("a" * 28) and json.loads(cut["d"].value) == {"a": {"a": "end"}}
 
 
+def test_json_leaves_of_odd_documents(spark):
+    texts = ['{"a":1.50,"b":[true,null,"é\\n",1e400,-0.0,[]],"":{"x":{}}}', '{"k":1,"k":2}', "[NaN]", "", None, "{", "9" * 5000, "[" * 900 + '"in"' + "]" * 900, "[" * 200_000, '["' + "x" * 3_000_000 + '"]', json.dumps([["y" * 900] * 50] * 400)]
+    rows = [(i if i != 1 else None, t, "clash") for i, t in enumerate(texts)]
+    f = spark.createDataFrame(rows, "path int, content string, value string")
+    got = Counter((r.path, r.json_path, r.parent, r.value) for r in S.json_leaves(f).collect())
+    want = [(0, "a", "a", "1.50"), (0, "b[0]", "b", "true"), (0, "b[2]", "b", "é\n"), (0, "b[3]", "b", "1e400"), (0, "b[4]", "b", "-0.0"), (None, "k", "k", "2"), (6, "", "", "9" * 5000), (7, "[0]" * 900, "", "in"), (9, "[0]", "", "x" * 3_000_000)]
+    assert got == Counter(want + [(10, f"[{i}][{j}]", "", "y" * 900) for i in range(400) for j in range(50)])
+    assert S.json_leaves(f.filter("false")).count() == 0
+    assert {(r.json_path, r.value) for r in S.json_leaves(f.filter("path = 0"), max_depth=1).collect()} >= {("a", "1.50"), ("", '{"x":{}}')}
+
+
 def test_single_files_objects_and_images(spark, tmp_path):
     (tmp_path / "build").mkdir()
     (tmp_path / "build" / "a.py").write_text("x = 1\n")
