@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import StructType
 
 from ..storage import cut
 
@@ -23,21 +24,60 @@ def commits(patches: DataFrame) -> DataFrame:
     )
 
 
+_HUNK = re.compile(r"@@ -[0-9]+(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))?")
+
+
+def _patch_lines(patch: str) -> Iterator[tuple[str | None, int | None, str]]:
+    """file, number and text of each added line. Inside the counts that a hunk's header gives, any line that starts as one of a hunk does belongs to it; beyond them, lines that look like headers don't."""
+    file, number, old, new, inside = None, 0, 0, 0, False
+    for line in patch.split("\n"):
+        start = line[:1]
+        counted = inside and (new > 0 if start == "+" else old > 0 if start == "-" else start in ("", " ", "\\") and old + new > 0)
+        if not counted:
+            if hunk := _HUNK.match(line):
+                (old, new), number, inside = (int(n or 1) for n in hunk.group(1, 3)), int(hunk[2]), True
+                continue
+            if line.startswith("diff --git"):
+                inside = False
+            elif line.startswith("+++ b/"):
+                file = line[6:]
+            if not inside or line.startswith(("index ", "--- ", "+++ ")):
+                continue
+        if start == "+":
+            yield file, number if number < 1 << 31 else None, line[1:]
+        number += start not in ("-", "\\")
+        old -= start not in ("+", "\\")
+        new -= start not in ("-", "\\")
+
+
 def added_lines(history: DataFrame) -> DataFrame:
-    """file_path, line_number, line, commit_hash, commit_author, commit_date of every added line. A commit is a row, so the window that follows its headers is one commit's work, not one repository's."""
-    lines = history.select("commit_hash", "commit_author", "commit_date", F.posexplode(F.split("patch", "\n")).alias("_i", "_t"))
-    w = Window.partitionBy("commit_hash").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    t = F.col("_t")
-    hunk = F.regexp_extract(t, r"^@@ -\d+(?:,\d+)? \+(\d+)", 1)
-    marked = (
-        lines.withColumn("file_path", F.last(F.when(t.rlike(r"^\+\+\+ b/"), F.regexp_replace(t, "^.{6}", "")), True).over(w))
-        .withColumn("_hunk", F.last(F.when(hunk != "", F.col("_i")), True).over(w))
-        .withColumn("_from", F.last(F.when(hunk != "", hunk.try_cast("int")), True).over(w))
-    )
-    in_hunk = Window.partitionBy("commit_hash", "_hunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    body = marked.filter(F.col("_hunk").isNotNull() & (F.col("_i") > F.col("_hunk")) & ~t.rlike(r"^(diff --git|index |--- |\+\+\+ )"))
-    numbered = body.withColumn("line_number", F.col("_from") + F.coalesce(F.sum(F.when(t.startswith("-") | t.startswith("\\"), 0).otherwise(1)).over(in_hunk), F.lit(0)))
-    return numbered.filter(t.startswith("+")).select("file_path", F.col("line_number").cast("int"), F.regexp_replace(t, "^.", "").alias("line"), "commit_hash", "commit_author", "commit_date")
+    """file_path, line_number, line, commit_hash, commit_author, commit_date of every added line.
+
+    Each patch is walked by itself, without a shuffle, so that commits whose hash is null, unreadable or repeated are as good
+    as others. A null patch has no lines; a line before any file's name has a null file_path.
+    """
+    shape = StructType([*StructType.fromDDL("file_path string, line_number int, line string").fields, *(history.schema[c] for c in ("commit_hash", "commit_author", "commit_date"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, added, held = [], [], 0
+
+            def flushed(b: pa.RecordBatch) -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, t in zip(zip(*added, strict=True), (pa.string(), pa.int32(), pa.string()))]
+                return pa.RecordBatch.from_arrays([*columns, *(b[c].take(pa.array(at, pa.int64())) for c in shape.names[3:])], shape.names)
+
+            for i, patch in enumerate(b["patch"]):
+                for found in _patch_lines(patch.as_py() or ""):
+                    at.append(i)
+                    added.append(found)
+                    held += len(found[2]) + 100
+                    if held > 8 << 20:
+                        yield flushed(b)
+                        at, added, held = [], [], 0
+            if added:
+                yield flushed(b)
+
+    return history.select("commit_hash", "commit_author", "commit_date", "patch").mapInArrow(run, shape)
 
 
 def ancestors(edges: DataFrame, commit: str) -> DataFrame:

@@ -248,6 +248,18 @@ def test_long_history_lines_stay_whole(spark):
     assert H.added_lines(H.commits(spark.createDataFrame([(patch,)], "patch string"))).first()["line"] == long
 
 
+def test_patches_are_walked_by_themselves(spark):
+    """Several files and hunks, lines that look like headers, no counts, wrong counts, unreadable and repeated hashes, null and foreign patches."""
+    two = "commit abc1234\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,3 +1,3 @@\n keep\n--- a comment\n+++ b/plus\n end\n@@ -9 +9,2 @@ def f\n-gone\n+in\n+side\n\\ No newline at end of file\ndiff --git a/y b/y\nnew file mode 100644\n--- /dev/null\n+++ b/y z\n@@ -0,0 +1 @@\n+first"
+    more = "@@ -1,1 +7,1 @@\n+a\n+b\n keep\n+c\n+++ b/late\n@@ -1 +99999999999 @@\n+d"
+    rows = [("h", two), ("h", two), (None, "--- a/n\n+++ b/n\n@@ -1 +1,2 @@\n+\n+2"), ("", more), ("n", None), ("e", ""), ("f", "+no hunk\n+++ b/q\n+still none")]
+    history = spark.createDataFrame([(h, "A", None, p, "clash") for h, p in rows], "commit_hash string, commit_author string, commit_date timestamp, patch string, line string")
+    got = Counter((r.commit_hash, r.file_path, r.line_number, r.line) for r in H.added_lines(history).collect())
+    one = [("h", "x", 2, "++ b/plus"), ("h", "x", 9, "in"), ("h", "x", 10, "side"), ("h", "y z", 1, "first")]
+    assert got == Counter(one * 2 + [(None, "n", 1, ""), (None, "n", 2, "2"), ("", None, 7, "a"), ("", None, 8, "b"), ("", None, 10, "c"), ("", "late", None, "d")])
+    assert H.added_lines(history.filter("false")).count() == 0 and "Exchange" not in H.added_lines(history)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_intermediate_tables_can_be_dropped(spark):
     kept = storage.cut(spark.range(3))
     assert kept.count() == 3 and re.search(r"/credsieve-[^/]+/cut-", kept.inputFiles()[0])
