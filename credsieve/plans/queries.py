@@ -397,6 +397,15 @@ def f03_json_leaves(spark, d):
     return S.json_leaves(e, "tree", "event_id").select("event_id", "json_path", "value")
 
 
+@query("""SELECT doc_id, concat('[0].', repeat('n.', CAST(doc_id % 40 AS INT)), k) AS json_path, CASE k WHEN 'text' THEN text WHEN 'source' THEN source ELSE CAST(doc_id AS VARCHAR) END AS value FROM documents, (VALUES ('text'), ('source'), ('doc_id')) AS t(k)
+WHERE CASE k WHEN 'text' THEN text WHEN 'source' THEN source ELSE CAST(doc_id AS VARCHAR) END IS NOT NULL""")
+def f03_document_trees(spark, d):
+    """Whole texts below up to 40 levels."""
+    level = "CAST(doc_id % 40 AS INT)"
+    tree = F.expr(f"concat('[', repeat('{{\"n\":', {level}), to_json(named_struct('text', text, 'source', source, 'doc_id', doc_id)), repeat('}}', {level}), ']')")
+    return S.json_leaves(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tree.alias("tree")), "tree", "doc_id").select("doc_id", "json_path", "value")
+
+
 @query("SELECT doc_id, concat(source, lang, doc_id, '-value') AS decoded FROM documents")
 def f04_decode_base64(spark, d):
     t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.base64(F.concat("source", "lang", "doc_id", F.lit("-value")).cast("binary")).alias("value"))
