@@ -90,3 +90,14 @@ def test_allow_rules_against_brute_force(spark):
     for some in [rules, [(None, [], None, [])], []]:
         got = I.allowed_findings(found_df, spark.createDataFrame([(*r, 1) for r in some], I.ALLOW + ", literal int"))
         assert sorted(map(str, got.collect())) == sorted({str(r) for r in found_df.drop("rule").collect() if any(fits_rule(tuple(r), x) for x in some)})
+
+
+def test_invalid_rules_are_asked_of_no_finding(spark):
+    """Rules whose expression doesn't compile let nothing pass, so that no join pairs them with all findings."""
+    found = spark.range(50).select(F.concat(F.lit("a"), "id", F.lit(".py")).alias("path"), F.lit("Key").alias("display_name"), F.lit("K").alias("type_id"), F.concat(F.lit("tok-1234-"), "id").alias("value"), F.lit("LOW").alias("severity"))
+    rules = spark.range(50).selectExpr("CAST(NULL AS array<string>) AS secret_types", "CAST(NULL AS array<string>) AS paths", "concat('tok-1234-', id, IF(id % 10 = 0, '$', '[')) AS value_regex", "CAST(NULL AS array<string>) AS severities")
+    got = I.allowed_findings(found, rules)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted(r.value for r in got.collect()) == sorted(f"tok-1234-{i}" for i in range(0, 50, 10))
+    assert I.allowed_findings(found, rules.filter("value_regex LIKE '%['")).count() == 0
