@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -12,9 +12,9 @@ from ..operators.match import scan_scannable
 from ..storage import path_exists
 
 
-def scan_stream(lines: DataFrame, rules: DataFrame) -> DataFrame:
+def scan_stream(lines: DataFrame, rules: DataFrame, placeholder: Callable[[Column], Column] = X.is_placeholder) -> DataFrame:
     """Matches of arriving lines (path, line, ts), as a batch finds them: overlaps and generic matches are settled within the line, so that nothing is shuffled and each micro-batch stands alone."""
-    return scan_scannable(lines, rules).withColumn("fingerprint", X.fingerprint(F.col("display_name"), F.col("path"), F.col("value")))
+    return scan_scannable(lines, rules, placeholder=placeholder).withColumn("fingerprint", X.fingerprint(F.col("display_name"), F.col("path"), F.col("value")))
 
 
 def first_seen(hits: DataFrame, delay: str = "1 day") -> DataFrame:
