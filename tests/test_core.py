@@ -174,6 +174,17 @@ def test_query_against_sql(spark, name):
     assert plain(got) == plain(want)
 
 
+def test_entropy_of_whole_texts(spark, tmp_path):
+    """A text is read once, not once for each of its different characters."""
+    texts = ["", "a", "aaaaaaaaaa", "aabbc", "pässword", "a\x00\n", "\U0010ffff\U0001f600a", None]
+    assert column(spark, texts, X.text_entropy) == pytest.approx([0.0, 0.0, 0.0, 1.5219280948873621, 2.75, 1.584962500721156, 1.584962500721156, None])
+    wide = "".join(chr(0x4E00 + i) for i in range(16384)) * 4
+    spark.createDataFrame([(1, wide), (2, ""), (3, None), (4, "ab")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Q.d06_shannon_entropy(spark, str(tmp_path))
+    assert "array_distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 14.0), (4, 1.0)]
+
+
 @pytest.mark.parametrize("name", ["a01_summary", "d03_find_matches", "d04_catalogue_scan", "v03_pair_credentials"])
 def test_digests_of_repeating_digits_are_secrets(spark, tmp_path, name):
     """The digest of 76972 holds 11111111, which is_placeholder takes for a dummy; the queries' SQL knows one placeholder only."""
