@@ -25,6 +25,15 @@ def test_planted_pairs_come_first(spark, tmp_path, text):
     against_sql(spark, tmp_path, "v03_pair_credentials", [text] * 9)
 
 
+#: Values that have no format of their type, but its length: a word in lower case, a session token, a connection in lower case, blanks inside.
+FOUND = ["de anpamentaimentanelle la", f'aws_session_token = "{"Ab1/" * 30}"', "server=a;uid=b;pwd=c;", 'password = "has blank inside"']
+
+
+@pytest.mark.parametrize("text", [OWN_KEY, *FOUND])
+def test_verified_by_length(spark, tmp_path, text):
+    against_sql(spark, tmp_path, "p15_only_verified", [text] * 9)
+
+
 def test_first_of_each_kind_is_paired(spark):
     """Whatever stands between them; a file with one kind only has no pair."""
     a, s = "AwsAccessKey", "AwsSecretKey"
